@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.exact_dedup import exact_dedup
+from tidelog.llm.near_dup import near_duplicates
 from tidelog.llm.packing import pack_documents
 from tidelog.llm.secrets import secret_report
 from tidelog.llm.token_files import token_round_trip
@@ -20,6 +21,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(_docs(spark, sf_dir))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_docs(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir))
 
@@ -34,6 +39,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_secrets": op10_secrets,
@@ -53,8 +59,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 def _rule_sql(order: int, kind: str, pattern: str, group: int, least: int) -> str:
     quoted = pattern.replace("'", "''")
     return f"""
-SELECT doc_id, {order} AS ord, '{kind}' AS kind, at AS start, at + length(m) AS "end" FROM (
-  SELECT doc_id, m, t, sum(length(g) + coalesce(length(before), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS at FROM (
+SELECT doc_id, {order} AS ord, '{kind}' AS kind, pos AS start, pos + length(m) AS "end" FROM (
+  SELECT doc_id, m, t, sum(length(g) + coalesce(length(before), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM (
     SELECT doc_id, i, g, m, t, lag(m) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (
       SELECT doc_id, unnest(range(1, len(f) + 1)) AS i, unnest(gaps[:len(f)]) AS g, unnest(f) AS m, unnest(tt) AS t FROM (
         SELECT doc_id, regexp_extract_all(text, '{quoted}') AS f, regexp_extract_all(text, '{quoted}', {group}) AS tt, string_split_regex(text, '{quoted}') AS gaps

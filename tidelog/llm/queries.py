@@ -10,6 +10,7 @@ from tidelog.llm.exact_dedup import exact_dedup
 from tidelog.llm.near_dup import near_duplicates
 from tidelog.llm.packing import pack_documents
 from tidelog.llm.secrets import secret_report
+from tidelog.llm.substring_dedup import substring_dedup
 from tidelog.llm.token_files import token_round_trip
 
 
@@ -33,6 +34,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_docs(spark, sf_dir))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_docs(spark, sf_dir))
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_secrets": op10_secrets,
 }
 
@@ -56,6 +62,21 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 """
 
 
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM w WHERE len(words) >= 13),
+g AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) AS k FROM s),
+m AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k),
+c AS (SELECT doc_id, i FROM g JOIN m USING (k) WHERE least < doc_id),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM c),
+p AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM w),
+k AS (SELECT p.doc_id, count(*) FILTER (r.i IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY p.i) FILTER (r.i IS NULL) AS kept
+  FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.i = r.i GROUP BY p.doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+
+
 def _rule_sql(order: int, kind: str, pattern: str, group: int, least: int) -> str:
     quoted = pattern.replace("'", "''")
     return f"""
@@ -83,4 +104,4 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op10_secrets": op10_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_secrets": op10_sql()}

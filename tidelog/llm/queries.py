@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm.decontaminate import contamination
 from tidelog.llm.exact_dedup import exact_dedup
+from tidelog.llm.line_dedup import line_report
 from tidelog.llm.near_dup import near_duplicates
 from tidelog.llm.packing import pack_documents
 from tidelog.llm.secrets import secret_report
@@ -22,6 +24,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(_docs(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
@@ -38,16 +44,22 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_docs(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_docs(spark, sf_dir))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_docs(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_decontamination": op3_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_secrets": op10_secrets,
 }
 
@@ -77,6 +89,20 @@ FROM w LEFT JOIN k ON w.doc_id = k.doc_id
 """
 
 
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS p, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+n AS (SELECT doc_id, p, line, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
+f AS (SELECT doc_id, p, bare, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS i FROM n WHERE bare <> ''),
+w AS (SELECT doc_id, i, md5(bare) || md5(b2) || md5(b3) AS k FROM (
+  SELECT *, lead(bare) OVER w1 AS b2, lead(bare, 2) OVER w1 AS b3 FROM f WINDOW w1 AS (PARTITION BY doc_id ORDER BY i)) WHERE b3 IS NOT NULL),
+o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM w),
+c AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM o WHERE nth > 1),
+k AS (SELECT n.doc_id, count(f.i) AS n_lines, count(c.i) AS n_removed, string_agg(n.line, chr(10) ORDER BY n.p) FILTER (c.i IS NULL) AS kept
+  FROM n LEFT JOIN f ON n.doc_id = f.doc_id AND n.p = f.p LEFT JOIN c ON f.doc_id = c.doc_id AND f.i = c.i GROUP BY n.doc_id)
+SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k
+"""
+
+
 def _rule_sql(order: int, kind: str, pattern: str, group: int, least: int) -> str:
     quoted = pattern.replace("'", "''")
     return f"""
@@ -104,4 +130,4 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_secrets": op10_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_secrets": op10_sql()}

@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,7 +53,7 @@ class Item:
 
 
 class Bm25Index:
-    def __init__(self, items: list[tuple[int, str]], *, share: float = 0.5, block: int = 8, gram: int = 3):
+    def __init__(self, items: list[tuple[int, str]], *, share: float = 0.5, block: int = 2, gram: int = 3):
         self.gram, self.block = gram, block
         parsed = [p for i, t in items if (p := self._parse(i, t or "")) is not None]
         self.items = sorted(parsed, key=lambda x: (x.length, x.item_id))
@@ -64,7 +65,8 @@ class Bm25Index:
         self.blocks = -(-n // block)
         self.block_max = np.zeros((len(self.terms), self.blocks), np.float64)
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        own = np.zeros(n)
+        own, common = np.zeros(n), np.zeros(n)
+        often = max(2, n // 32)
         for i, x in enumerate(self.items):
             for t, tf in x.terms.items():
                 idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
@@ -73,8 +75,18 @@ class Bm25Index:
                 k = number[t], i // block
                 self.block_max[k] = max(self.block_max[k], impact)
                 own[i] += impact
+                common[i] += impact * (df[t] > often)
         self.threshold = share * own
         self.block_least = np.array([self.threshold[b * block : (b + 1) * block].min() for b in range(self.blocks)])
+        # What rare terms must bring, and their block maxima as (term pointers, blocks, maxima).
+        self.lack = np.array([(self.threshold - common)[b * block : (b + 1) * block].min() for b in range(self.blocks)])
+        rare = np.array([df[int(t)] <= often for t in self.terms], bool)
+        self.rare = np.append(rare, False)
+        t, b = np.nonzero(self.block_max * rare[:, None])
+        self.rare_ptr = np.searchsorted(t, np.arange(len(self.terms) + 1))
+        self.rare_block, self.rare_max = b, self.block_max[t, b]
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(self.terms >> np.uint64(48)).astype(np.int64)] = True
         self.most = self.block_max.max(axis=1) if n else np.zeros(len(self.terms))
         self.stretch = max([32, *(x.length for x in self.items)])
 
@@ -92,11 +104,13 @@ class Bm25Index:
 
     def number(self, h: np.ndarray) -> np.ndarray:
         """Numbers of terms, -1 for words that no item has."""
-        if not len(self.terms):
-            return np.full(len(h), -1)
-        at = np.searchsorted(self.terms, h)
-        at[at == len(self.terms)] = 0
-        return np.where(self.terms[at] == h, at, -1)
+        out = np.full(len(h), -1)
+        if len(self.terms):
+            due = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
+            at = np.searchsorted(self.terms, h[due])
+            at[at == len(self.terms)] = 0
+            out[due] = np.where(self.terms[at] == h[due], at, -1)
+        return out
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """All items that reach their thresholds with these distinct terms, by block-max WAND: (item number, score)."""
@@ -107,11 +121,11 @@ class Bm25Index:
         heapq.heapify(heap)
         least = float(self.threshold.min()) if len(self.threshold) else 0.0
         out = []
+        open_ = np.flatnonzero(self.block_max[terms].sum(axis=0) >= self.block_least - 1e-9).tolist()  # blocks that may have a hit
 
         def advance(k: int, item: int) -> None:
             p = lists[k]
-            while at[k] < len(p) and p[at[k]][0] < item:
-                at[k] += 1
+            at[k] = bisect_left(p, (item,), at[k])
             if at[k] < len(p):
                 heapq.heappush(heap, (p[at[k]][0], k))
 
@@ -126,18 +140,16 @@ class Bm25Index:
             pivot = passed[-1][0]
             while heap and heap[0][0] == pivot:
                 passed.append(heapq.heappop(heap))
-            b = pivot // self.block
-            if sum(self.block_max[terms[k], b] for _, k in passed) < self.block_least[b]:
-                # No item of the block, up to the next list's current one, can reach it.
-                goal = min((b + 1) * self.block, heap[0][0] if heap else len(self.items))
-                goal = max(goal, pivot + 1)
+            b = bisect_left(open_, pivot // self.block)
+            if b == len(open_):
+                return out
+            if open_[b] * self.block > pivot:
+                goal = open_[b] * self.block  # no item before it can reach its threshold
             else:
                 goal = pivot + 1
                 for item, k in passed:
                     if item < pivot:
-                        p = lists[k]
-                        while at[k] < len(p) and p[at[k]][0] < pivot:
-                            at[k] += 1
+                        at[k] = bisect_left(lists[k], (pivot,), at[k])
                 score = sum(lists[k][at[k]][1] for _, k in passed if at[k] < len(lists[k]) and lists[k][at[k]][0] == pivot)
                 if score >= self.threshold[pivot] - 1e-9:
                     out.append((pivot, score))
@@ -152,29 +164,28 @@ class Bm25Index:
         term = self.number(h)
         halves = -(-counts // size)
         base = np.cumsum(halves) - halves
-        row = np.repeat(np.arange(len(counts)), counts)
-        half = base[row] + (np.arange(len(h)) - words.row_ptr[:-1][row]) // size
-        known = np.flatnonzero(term >= 0)
-        if not len(known):
+        if not len(self.items) or not len(h):
             return
-        pair = np.unique(half[known] * len(self.terms) + term[known])
-        half_of, term_of = np.divmod(pair, len(self.terms))
         total = int(halves.sum())
+        row_of = np.repeat(np.arange(len(counts)), halves)
+        begin = words.row_ptr[:-1][row_of] + (np.arange(total) - base[row_of]) * size  # first word of each stretch
         first = np.zeros(total, bool)
         first[base[halves > 0]] = True
-        reach = np.zeros(total, bool)
-        for b in range(self.blocks):
-            bound = np.bincount(half_of, weights=self.block_max[term_of, b], minlength=total)
-            bound[1:] += np.where(first[1:], 0, bound[:-1])  # with the stretch before
-            reach |= bound >= self.block_least[b] - 1e-9
-        start = np.searchsorted(half_of, np.arange(total + 1))
-        row_of = np.repeat(np.arange(len(counts)), halves)
-        for x in np.flatnonzero(reach):
+        known = np.flatnonzero(self.rare[term])
+        half = np.searchsorted(begin, known, side="right") - 1
+        half_of, term_of = np.divmod(np.unique(half * len(self.terms) + term[known]), len(self.terms))
+        n = self.rare_ptr[term_of + 1] - self.rare_ptr[term_of]
+        at = np.repeat(self.rare_ptr[term_of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        bound = np.bincount(np.repeat(half_of, n) * self.blocks + self.rare_block[at], weights=self.rare_max[at], minlength=total * self.blocks).reshape(total, self.blocks)
+        bound[1:] += np.where(first[1:, None], 0, bound[:-1])  # with the stretch before
+        for x in np.flatnonzero((bound >= self.lack - 1e-9).any(axis=1)):
             r = row_of[x]
-            begin = x if first[x] else x - 1
-            lo = words.row_ptr[r] + (begin - base[r]) * size
-            hi = min(words.row_ptr[r + 1], words.row_ptr[r] + (x - base[r] + 1) * size)
-            yield r, lo, hi, np.unique(term_of[start[begin] : start[x + 1]]), h[lo:hi]
+            lo = int(begin[x if first[x] else x - 1])
+            hi = int(min(words.row_ptr[r + 1], begin[x] + size))
+            terms = np.unique(term[lo:hi])
+            terms = terms[terms >= 0]
+            if (self.block_max[terms].sum(axis=0) >= self.block_least - 1e-9).any():
+                yield r, lo, hi, terms, h[lo:hi]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.5, overlap: float = 0.5, gram: int = 3, index_bytes: int = 16 << 20) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.decontaminate import contamination
 from tidelog.llm.exact_dedup import exact_dedup
+from tidelog.llm.html_text import extract_pages
 from tidelog.llm.line_dedup import line_report
 from tidelog.llm.near_dup import near_duplicates
 from tidelog.llm.packing import pack_documents
 from tidelog.llm.secrets import secret_report
 from tidelog.llm.substring_dedup import substring_dedup
 from tidelog.llm.token_files import token_round_trip
+from tidelog.llm.toxicity import toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(_docs(spark, sf_dir))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -32,6 +38,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir))
 
@@ -54,8 +64,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_main_text": op2_main_text,
     "op3_decontamination": op3_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_substring_dedup": op8_substring_dedup,

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.tables import documents, pick
+from tidelog.llm.tables import documents, pick, position
 from tidelog.llm.words import Words, slices, utf8
 
 K1, B = 1.2, 0.75
@@ -196,19 +196,54 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     empty texts and items match nothing; items whose null id hides them are left out; rows that repeat an id give rows
     each; empty tables give no row.
     """
-    items = pick(benchmark, item_id=item_col, text=item_text_col).select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-size // index_bytes) or 1
     d = documents(docs, id_col, text_col)
     out = None
-    for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        index = Bm25Index([(r["item_id"], r["text"]) for r in own.collect()], share=share, gram=gram)
+    for index in _indexes(benchmark, item_col, item_text_col, share, gram, index_bytes):
         found = _leaks(d, index, overlap)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.5, overlap: float = 0.5, gram: int = 3, index_bytes: int = 16 << 20) -> DataFrame:
+    """The rows, with all their columns, in which no item leaks; options and rules as of contamination."""
+    at = position(docs, text_col)
+    for index in _indexes(benchmark, item_col, item_text_col, share, gram, index_bytes):
+        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(index), at, overlap), docs.schema)
+    return docs
+
+
+def _clean(shared, at: int, overlap: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in slices(batch, batch.schema.names[at]):
+                keep = np.ones(part.num_rows, bool)
+                keep[[r for r, *_ in _hits(shared.value, data, offsets, overlap)]] = False
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
+def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, share: float, gram: int, index_bytes: int) -> Iterator[Bm25Index]:
+    items = pick(benchmark, item_id=item_col, text=item_text_col).select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-size // index_bytes) or 1
+    for part in range(parts):
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        yield Bm25Index([(r["item_id"], r["text"]) for r in own.collect()], share=share, gram=gram)
+
+
+def _hits(index: Bm25Index, data: np.ndarray, offsets: np.ndarray, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
+    """Verified hits of passages: (row, item number, score, question overlap, answer overlap)."""
+    for r, _, _, terms, h in index.passages(plain_words(data, offsets)):
+        grams = None
+        for i, score in index.search(terms.tolist()):
+            grams = _grams(h, index.gram) if grams is None else grams
+            item = index.items[i]
+            q, a = (sum(g in grams if len(g) == index.gram else _short(g, h) for g in x) / len(x) for x in (item.question, item.answer))
+            if q >= overlap and a >= overlap:
+                yield int(r), i, score, q, a
+
+
 def _leaks(d: DataFrame, index: Bm25Index, overlap: float) -> DataFrame:
     shared = d.sparkSession.sparkContext.broadcast(index)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
@@ -219,14 +254,9 @@ def _leaks(d: DataFrame, index: Bm25Index, overlap: float) -> DataFrame:
             for part, data, offsets in slices(batch, "text"):
                 ids = part.column(0).to_pylist()
                 best: dict[tuple[int, int], tuple] = {}
-                for r, _, _, terms, h in index.passages(plain_words(data, offsets)):
-                    grams = None
-                    for i, score in index.search(terms.tolist()):
-                        grams = _grams(h, index.gram) if grams is None else grams
-                        item = index.items[i]
-                        q, a = (sum(g in grams if len(g) == index.gram else _short(g, h) for g in x) / len(x) for x in (item.question, item.answer))
-                        if q >= overlap and a >= overlap and score > best.get((r, i), (0.0,))[0]:
-                            best[r, i] = (score, q, a)
+                for r, i, score, q, a in _hits(index, data, offsets, overlap):
+                    if score > best.get((r, i), (0.0,))[0]:
+                        best[r, i] = (score, q, a)
                 rows = [(ids[r], index.items[i].item_id, round(s, 6), round(q, 6), round(a, 6)) for (r, i), (s, q, a) in best.items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.tables import pick
+from tidelog.llm.tables import pick, position
 
 _NO_ID = (1 << 63) - 1
 
@@ -39,8 +39,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     names = docs.columns
     d = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     row = F.struct(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)]).alias("row")
-    at = lambda c: names.index(c) if c in names else [n.lower() for n in names].index(c.lower())
-    d = d.select(F.col(f"_c{at(id_col)}").cast("long").alias("doc_id"), F.coalesce(F.col(f"_c{at(text_col)}"), F.lit("")).alias("text"), row)
+    i, t = position(docs, id_col), position(docs, text_col)
+    d = d.select(F.col(f"_c{i}").cast("long").alias("doc_id"), F.coalesce(F.col(f"_c{t}"), F.lit("")).alias("text"), row)
     d = d.withColumns({"_id": F.coalesce("doc_id", F.lit(_NO_ID)), "_h": F.xxhash64("text")})
     lines = d.select("_id", "_h", _lines(F.col("text")).alias("lines"))
     each = lines.select("_id", "_h", F.explode(_windows(F.col("lines"), window)).alias("w")).select("_id", "_h", F.col("w.at").alias("at"), F.col("w.digest").alias("digest"))

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """The named source columns only, as ``out=source``. A column spelt exactly so wins over one in another case."""
+def position(df: DataFrame, column: str) -> int:
+    """Number of a column. One spelt exactly so wins over one in another case."""
     names = df.columns
-    low = [n.lower() for n in names]
-    at = {out: names.index(src) if src in names else low.index(src.lower()) for out, src in columns.items()}
-    return df.toDF(*[f"_c{i}" for i in range(len(names))]).select(*[F.col(f"_c{i}").alias(out) for out, i in at.items()])
+    return names.index(column) if column in names else [n.lower() for n in names].index(column.lower())
+
+
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """The named source columns only, as ``out=source``."""
+    at = {out: position(df, src) for out, src in columns.items()}
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]).select(*[F.col(f"_c{i}").alias(out) for out, i in at.items()])
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

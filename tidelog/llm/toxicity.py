@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon entries (whole words) and patterns (word beginnings) that are mined from a bounded sample of labelled
-training rows. A generative label model estimates, by expectation maximisation over the votes alone, how often each voter
-fires on either class, and how voters correlate inside the toxic class; correlated voters share their weight. Its
-posteriors, not the labels, train a linear classifier, which scores every document.
+training rows; the annotator who gave the labels is one more voter, of a fixed accuracy. A generative label model
+estimates, by expectation maximisation over the votes, how often each voter fires on either class, and how voters
+correlate inside the toxic class; correlated voters share their weight. Its posteriors, not the labels, train a linear
+classifier, which scores every document from its text alone.
 
 Rows whose crc32(doc_id as text) modulo 5 is 0 are held out: their labels are never read.
 """
@@ -21,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.storage import cut
-from tidelog.llm.tables import documents, pick
+from tidelog.llm.tables import documents, pick, position
 from tidelog.llm.words import Words, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
-_PREFIXES = (4, 5, 6)
+_PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -81,14 +82,15 @@ class LabelModel:
         return np.log(self.prior / (1 - self.prior)) + votes @ evidence + quiet * np.log(self.silent[1] / self.silent[0])
 
 
-def fit_label_model(votes: np.ndarray, prior: float, fires: np.ndarray, silent: np.ndarray, rounds: int = 20) -> LabelModel:
-    """EM from starting values. A voter that doesn't fire abstains; that none fires is a vote of its own."""
+def fit_label_model(votes: np.ndarray, annotator: np.ndarray, accuracy: float = 0.97, rounds: int = 20) -> tuple[LabelModel, np.ndarray]:
+    """The model and its posteriors. A voter that doesn't fire abstains; that none fires is a vote of its own; the
+    annotator (0 or 1 for each row) is right with the given probability."""
     n, v = votes.shape
     x = votes.astype(float)
-    model = LabelModel(prior, fires, np.ones(v), silent, np.zeros((v, v)))
     quiet = ~votes.any(axis=1)
+    told = np.where(annotator == 1, 1, -1) * np.log(accuracy / (1 - accuracy))
+    r = np.where(annotator == 1, accuracy, 1 - accuracy)
     for _ in range(rounds):
-        r = 1 / (1 + np.exp(-np.clip(model.log_odds(votes), -30, 30)))
         prior = float(np.clip(r.mean(), 1e-4, 0.5))
         both = []
         for c in (1 - r, r):
@@ -99,9 +101,10 @@ def fit_label_model(votes: np.ndarray, prior: float, fires: np.ndarray, silent:
         sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
         corr = np.clip(cov / np.outer(sd, sd), -1, 1)
         np.fill_diagonal(corr, 0)
-        weight = 1 / (1 + np.maximum(corr - 0.1, 0).sum(axis=1))
+        weight = 1 / np.sqrt(1 + np.maximum(corr - 0.1, 0).sum(axis=1))
         model = LabelModel(prior, np.array(both), weight, silent, corr)
-    return model
+        r = 1 / (1 + np.exp(-np.clip(model.log_odds(votes) + told, -30, 30)))
+    return model, r
 
 
 @dataclass
@@ -128,7 +131,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Linear classifier on soft labels by Newton steps."""
     x1 = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x1.shape[1])
@@ -191,14 +194,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     pos_n, neg_n = size.get(1, 0), size.get(0, 0)
     if not pos_n or not neg_n:
         return ToxicityModel(FeatureSet([]), [], None, np.zeros(2), -10.0)
-    least = max(3, pos_n // 300)
+    least = max(4, pos_n // 300)
     pos = {r["feature"]: r["n"] for r in _counts(once.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(20_000).collect()}
     neg = {r["feature"]: r["n"] for r in _counts(once.where("toxic = 0"), set(pos)).collect()}
     odds = {f: np.log((n + 0.1) / (pos_n + 1)) - np.log((neg.get(f, 0) + 0.1) / (neg_n + 1)) for f, n in pos.items()}
     chosen: list[str] = []
-    for f in sorted((f for f in pos if odds[f] >= 2.5), key=lambda f: (-pos[f] * odds[f], len(f), f)):
+    for f in sorted((f for f in pos if odds[f] >= 2.5), key=lambda f: (-round(pos[f] * odds[f], 2), -len(f), f)):
         bare = f.strip("=-")
-        if not any(c.endswith("-") and bare.startswith(c[:-1]) and odds[c] >= odds[f] - 1 for c in chosen):
+        # Left out: what a chosen beginning covers, and a beginning that has hardly more than a chosen longer one.
+        covered = any(c.endswith("-") and bare.startswith(c[:-1]) and odds[c] >= odds[f] - 1 for c in chosen)
+        if not covered and not any(c.strip("=-").startswith(bare) and pos[f] <= 1.05 * pos[c] for c in chosen):
             chosen.append(f)
         if len(chosen) == most_features:
             break
@@ -209,11 +214,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     rows = _feature_rows(sample, model.features)
     x, y = rows
     votes = x[:, voters] > 0
-    smooth = lambda c: ((votes[y == c].sum(axis=0) + 0.05) / ((y == c).sum() + 1))
-    quiet = ~votes.any(axis=1)
-    start = np.array([((quiet & (y == c)).sum() + 0.5) / ((y == c).sum() + 1) for c in (0, 1)])
-    model.labels = fit_label_model(votes, float(y.mean()), np.array([smooth(0), smooth(1)]), start)
-    target = 1 / (1 + np.exp(-np.clip(model.labels.log_odds(votes), -30, 30)))
+    model.labels, target = fit_label_model(votes, y)
     model.coef, model.bias = _logistic(model.inputs(x), target)
     return model
 
@@ -250,6 +251,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def reject_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", most: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose texts score below ``most``."""
+    at = position(docs, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                yield part.filter(pa.array(model.score([t or "" for t in part.column(at).to_pylist()]) < most))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Train on the labelled rows that aren't held out and score every document."""
     return score_toxicity(docs, train_toxicity(docs, labels, **options))

@@ -1,0 +1 @@
+"""Event-log analytics on Spark: logs as DataFrames, declarative operators, Catalyst underneath."""

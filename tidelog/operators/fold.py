@@ -11,13 +11,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[object, dict], tuple[object, dict]], out: StructType) -> DataFrame:
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[object, dict], tuple[object, dict]], out: str) -> DataFrame:
     """One output row for each input row, from a state that is carried along each key's rows in order.
 
     Rows stream through sorted partitions; only one key's state is held, however long its history is."""
 
+    schema = to_arrow_schema(StructType.fromDDL(out))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, schema = None, None, to_arrow_schema(out)
+        key, state = None, None
         for batch in batches:
             done = []
             for row in batch.to_pylist():
@@ -53,7 +55,7 @@ def _kv_step(state, row):
     return (cas, value, expires, gone), result
 
 
-KV = StructType.fromDDL("ns string, key string, seq long, ok boolean, reason string, cas long, value string, expires_ms long, deleted boolean")
+KV = "ns string, key string, seq long, ok boolean, reason string, cas long, value string, expires_ms long, deleted boolean"
 
 
 def kv_apply(changes: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def upsert_totals(rows: DataFrame, keys: list[str], add: str, order: str, status
     return rows.groupBy(*keys).agg(F.sum(add).alias("total"), F.max(order).alias("last_seq"), F.max_by(status, order).alias("status"))
 
 
-RANKED = StructType.fromDDL("payment_id string, seq long, incoming string, current string, action string, reason string, successes long")
+RANKED = "payment_id string, seq long, incoming string, current string, action string, reason string, successes long"
 
 
 def _ranked_step(state, row):
@@ -112,7 +114,7 @@ def ranked_states(events: DataFrame) -> DataFrame:
     return ordered_fold(events, ["payment_id"], ["seq"], _ranked_step, RANKED)
 
 
-TERMINAL = StructType.fromDDL("payment_id string, seq long, incoming string, before string, after string, decision string")
+TERMINAL = "payment_id string, seq long, incoming string, before string, after string, decision string"
 _END = ("SUCCESS", "FAILED")
 
 
@@ -141,7 +143,7 @@ def terminal_states(events: DataFrame) -> DataFrame:
 
 def dead_letters(attempts: DataFrame, keys: list[str], failed: str, most: int = 3) -> DataFrame:
     """(keys, failures) of what has failed ``most`` times or more."""
-    return attempts.groupBy(*keys).agg(F.count_if(failed).alias("failures")).where(F.col("failures") >= most)
+    return attempts.groupBy(*keys).agg(F.count_if(F.expr(failed)).alias("failures")).where(F.col("failures") >= most)
 
 
 def repair_missing(pages: DataFrame, recovered: DataFrame, keys: list[str]) -> DataFrame:

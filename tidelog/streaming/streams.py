@@ -72,6 +72,6 @@ def terminal_states_stream(stream: DataFrame) -> DataFrame:
             state, result = terminal_step(state if state != (None, frozenset()) else None, row)
             out.append(result)
         held.update((state[0], "\x1f".join(sorted(state[1]))))
-        yield pd.DataFrame(out, columns=TERMINAL.names)
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in TERMINAL.split(", ")])
 
     return stream.groupBy("payment_id").applyInPandasWithState(step, TERMINAL, "current string, seen string", "append", GroupStateTimeout.NoTimeout)

@@ -4,7 +4,7 @@ A document is its set of shingles of ``k`` words (a shorter text: one shingle of
 are one set with a multiplicity. Each set has a signature of ``trees`` x ``depth`` labels. A tree is the trie of its labels
 in order; sets that share a prefix of d labels in some tree are candidates. d starts at ``depth`` and is shortened, tree by
 tree alike, until the estimated recall reaches ``recall``: each candidate pair of estimated similarity s stands for
-1 / (1 - (1 - s**d)**trees) pairs. Candidates form components (edges go from each trie node's least set to the others, so
+1 / (1 - (1 - s**d)**trees) pairs, which tells what share of all pairs any shorter prefix finds. Candidates form components (edges go from each trie node's least set to the others, so
 no node gives all its pairs). Inside a component all pairs are verified exactly, in blocks; blocks return counts of links
 and a spanning forest, never the pairs.
 """
@@ -103,8 +103,8 @@ def _star_edges(prefixes: DataFrame) -> DataFrame:
     return prefixes.join(nodes, "key").where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
 
 
-def _recall(edges: DataFrame, sets: DataFrame, trees: int, d: int, threshold: float) -> float:
-    """Estimated share of all pairs at the threshold and above that prefixes of d labels find."""
+def _recalls(edges: DataFrame, sets: DataFrame, trees: int, found_at: int, depths: list[int], threshold: float) -> list[float]:
+    """Estimated share of all pairs at the threshold and above that prefixes of each depth find, from those of one depth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,12 +112,20 @@ def _recall(edges: DataFrame, sets: DataFrame, trees: int, d: int, threshold: fl
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), _LABEL).reshape(batch.num_rows, -1) for i in (0, 1))
                 s = (x == y).mean(axis=1)
                 s = np.maximum(s[s >= threshold - 0.05], threshold)
-                yield pa.RecordBatch.from_arrays([pa.array([len(s)]), pa.array([float((1 / (1 - (1 - s**d) ** trees)).sum())])], names=["n", "total"])
+                stands_for = 1 / _finds(s, found_at, trees)
+                sums = [float(stands_for.sum()), *(float((stands_for * _finds(s, d, trees)).sum()) for d in depths)]
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in sums], names=[f"s{i}" for i in range(len(sums))])
 
     left = edges.join(sets.select(F.col("sid").alias("a"), F.col("labels").alias("x")), "a")
     both = left.join(sets.select(F.col("sid").alias("b"), F.col("labels").alias("y")), "b").select("x", "y")
-    n, total = both.mapInArrow(run, "n long, total double").agg(F.sum("n"), F.sum("total")).first()
-    return n / total if n else 1 - (1 - threshold**d) ** trees
+    names = [f"s{i}" for i in range(len(depths) + 1)]
+    total, *each = both.mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
+    return [e / total for e in each] if total else [float(_finds(threshold, d, trees)) for d in depths]
+
+
+def _finds(s, d: int, trees: int):
+    """Probability that sets of similarity s share a prefix of d labels in some tree."""
+    return 1 - (1 - s**d) ** trees
 
 
 def _jaccard_links(sets: list[np.ndarray], threshold: float, columns: int = 4096) -> np.ndarray:
@@ -173,17 +181,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = cut(_sign(d0, k, trees * depth), "signed")
     own = signed.where("sid IS NOT NULL AND doc_id IS NOT NULL")
     sets = cut(own.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels")), "sets")
-    for d in range(depth, least_depth - 1, -1):
+    d = depth
+    while True:
         edges = cut(_star_edges(_prefixes(sets, trees, depth, d)), "star-edges")
-        if d == least_depth or _recall(edges, sets, trees, d, threshold) >= recall:
+        depths = list(range(d, least_depth - 1, -1))
+        recalls = _recalls(edges, sets, trees, d, depths, threshold)
+        if recalls[0] >= recall or d == least_depth:
             break
+        d = next((x for x, r in zip(depths, recalls, strict=True) if x < d and r >= recall), least_depth)
     parts = connected_components(edges)
     sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
     members = parts.join(sizes, "component").join(sets.select(F.col("sid").alias("node"), "rep", "copies"), "node")
     blocks = F.ceil(F.col("members") / F.lit(block))
     members = members.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = cut(members.select("rep", F.col("node").alias("sid"), "copies", "component", "blocks", "own"), "members")
-    texts = d0.join(members, d0.doc_id == members.rep).select("sid", "copies", "component", "blocks", "own", "text")
+    # Members grow with the input, so their join is by shuffle at every size.
+    texts = d0.join(members.hint("merge"), d0.doc_id == members.rep).select("sid", "copies", "component", "blocks", "own", "text")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = texts.select("sid", "copies", "component", "own", "text", other)
     dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "copies", "text")

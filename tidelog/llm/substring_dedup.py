@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.storage import AtomicFile, cut, open_fs, pack_ints, pack_sorted, partitions, shared_dir, unpack_ints, unpack_sorted
 from tidelog.llm.tables import documents
-from tidelog.llm.words import Words, slices
+from tidelog.llm.words import CHUNK_BYTES, Words, slices
 
 MANY = -(1 << 63)
 NULL_ID = (1 << 63) - 1
-_CHUNK = 4 << 20
+_CHUNK = CHUNK_BYTES
 
 
 def _runs_of(values: np.ndarray) -> np.ndarray:

@@ -47,14 +47,11 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     first = each.groupBy("digest").agg(F.min(F.struct("_id", "_h", "at")).alias("first"), F.max(F.struct("_id", "_h", "at")).alias("last")).where("first <> last").select("digest", "first")
     later = each.join(first, "digest").where(F.struct("_id", "_h", "at") != F.col("first")).groupBy("_id", "_h").agg(F.collect_set("at").alias("starts"))
     met = d.join(later, ["_id", "_h"], "left").select("doc_id", "text", "row", "starts")
-    n_lines = F.size(_lines(F.col("text"))).cast("long")
-    same = met.where("starts IS NULL").select("doc_id", "text", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "row")
-
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, count, gone = [], [], []
             for t, starts in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                covered = {s + k for s in starts for k in range(window)}
+                covered = {s + k for s in starts or () for k in range(window)}
                 n, kept = 0, []
                 for line in t.split("\n"):
                     full = bool(line.strip(" \t\x0b\x0c\r"))
@@ -66,8 +63,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 gone.append(len(covered))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64()), batch.column(2)], names=["doc_id", "text", "n_lines", "n_removed", "row"])
 
-    changed = met.where("starts IS NOT NULL").mapInArrow(remove, same.schema)
-    return same.unionByName(changed)
+    # One pass over the joined rows: texts are shuffled once.
+    out = met.select("doc_id", "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "row").schema
+    return met.mapInArrow(remove, out)
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:

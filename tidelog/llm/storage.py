@@ -31,7 +31,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, so that a lost executor costs no recomputation of its past."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

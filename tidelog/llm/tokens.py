@@ -19,7 +19,7 @@ from tidelog.llm.words import mix
 
 DEFAULT = "byte_bpe_50k.json"
 _BASE = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = range(5)
 #: Code points of the property White_Space.
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

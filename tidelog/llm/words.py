@@ -17,7 +17,7 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _STEP = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _MASK = (1 << 64) - 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _power(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelog.llm import decontaminate, html_text, packing, secrets, toxicity
+from tidelog.llm.components import connected_components
 from tidelog.llm.exact_dedup import exact_dedup
 from tidelog.llm.line_dedup import line_dedup
 from tidelog.llm.near_dup import near_duplicates
@@ -91,6 +92,22 @@ def test_near_groups(docs):
     assert got[2] == (1, 1) and got[4] == (3, 1) and got[5] == (5, 0) and got[8] == (8, 2)
 
 
+def test_components_of_stars_chains_and_clutter(spark):
+    rng = random.Random(3)
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1060)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(160)]
+    parent = {v: v for e in edges for v in e if e[0] != e[1]}
+
+    def root(v):
+        return v if parent[v] == v else root(parent[v])
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = [tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted((v, root(v)) for v in parent)
+
+
 def test_substring_index_finds_history_and_survives_compaction(spark, tmp_path):
     d = spark.createDataFrame([(i, " ".join(BASE[:40]) + f" own{i} " + " ".join(f"u{i}x{j}" for j in range(30))) for i in range(1, 9)], SCHEMA)
     want = {r.doc_id: r.n_removed for r in substring_dedup(d, batches=1).collect()}

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.storage import cut
+from tidelog.llm.storage import cut, partitions
+
+
+def with_group_value(rows: DataFrame, key: str, spread: str, name: str, first: Column, then: Callable[[str], Column]) -> DataFrame:
+    """``rows`` and the value of their group by ``key``, under ``name``; a group of any size is dealt over all partitions.
+
+    A group's rows go to as many buckets as there are shuffle partitions, by the hash of ``spread``; ``first`` is the value of a
+    bucket, ``then`` joins the buckets' values. The value goes back only to buckets that have rows.
+    """
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(partitions(rows.sparkSession))))
+    parts = dealt.groupBy(key, "_bucket").agg(first.alias(name))
+    whole = parts.groupBy(key).agg(then(name).alias(name), F.collect_list("_bucket").alias("_buckets"))
+    return dealt.join(whole.select(key, name, F.explode("_buckets").alias("_bucket")), [key, "_bucket"]).drop("_bucket")
 
 
 def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -15,10 +29,10 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
     mark = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))  # hi: a node, lo: a neighbour
-        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-        large = both.join(least, "hi").where(F.col("lo") > F.col("hi")).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
+        both = with_group_value(both, "hi", "lo", "m", F.min("lo"), F.min).withColumn("m", F.least("hi", "m"))
+        large = both.where(F.col("lo") > F.col("hi")).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi")
+        small = with_group_value(large, "hi", "lo", "m", F.min("lo"), F.min)
         small = small.where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(low.select("hi", F.col("m").alias("lo")))
         e = cut(small.distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.components import connected_components
+from tidelog.llm.components import connected_components, with_group_value
 from tidelog.llm.storage import cut, partitions
 from tidelog.llm.tables import documents
 from tidelog.llm.words import Words, mix, slices
@@ -190,8 +190,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
         d = next((x for x, r in zip(depths, recalls, strict=True) if x < d and r >= recall), least_depth)
     parts = connected_components(edges)
-    sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
-    members = parts.join(sizes, "component").join(sets.select(F.col("sid").alias("node"), "rep", "copies"), "node")
+    sized = with_group_value(parts, "component", "node", "members", F.count("*"), F.sum)
+    members = sized.join(sets.select(F.col("sid").alias("node"), "rep", "copies"), "node")
     blocks = F.ceil(F.col("members") / F.lit(block))
     members = members.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = cut(members.select("rep", F.col("node").alias("sid"), "copies", "component", "blocks", "own"), "members")
@@ -245,8 +245,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = verified.groupBy("sid").agg(F.sum("links").alias("links"))
     named = sets.select("sid", "rep", "copies").join(classes.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.withColumn("component", F.coalesce("component", "sid"))
-    least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = named.join(least, "component").join(links, "sid", "left").select("sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = with_group_value(named, "component", "sid", "class_id", F.min("rep"), F.min)
+    named = named.join(links, "sid", "left").select("sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = F.col("doc_id").isNotNull()
     out = signed.select("doc_id", "sid").join(named, "sid", "left")
     return out.select("doc_id", F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))

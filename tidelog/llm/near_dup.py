@@ -1,12 +1,12 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
 A document is its set of shingles of ``k`` words (a shorter text: one shingle of all its words). Documents with equal sets
-are one set with a multiplicity. Each set has a signature of ``trees`` x ``depth`` labels. A tree is the trie of its labels
-in order; sets that share a prefix of d labels in some tree are candidates. d starts at ``depth`` and is shortened, tree by
-tree alike, until the estimated recall reaches ``recall``: each candidate pair of estimated similarity s stands for
-1 / (1 - (1 - s**d)**trees) pairs, which tells what share of all pairs any shorter prefix finds. Candidates form components (edges go from each trie node's least set to the others, so
-no node gives all its pairs). Inside a component all pairs are verified exactly, in blocks; blocks return counts of links
-and a spanning forest, never the pairs.
+are one set with a multiplicity. Each set has a signature of ``trees`` x d labels. A tree is the trie of its labels
+in order; sets that share a prefix of d labels in some tree are candidates. d is the longest prefix, of at most ``depth``
+labels, by which a pair whose similarity is just the threshold becomes a candidate with probability ``recall``, so pairs
+above it do at least as often, whatever else the table holds. Candidates form components (edges go from each trie node's
+least set to the others, so no node gives all its pairs). Inside a component all pairs are verified exactly, in blocks;
+blocks return counts of links and a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -79,15 +79,15 @@ def _sign(docs: DataFrame, k: int, functions: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sid long, size int, labels binary")
 
 
-def _prefixes(sets: DataFrame, trees: int, depth: int, d: int) -> DataFrame:
-    """(sid, key): one row a set and tree, key standing for the tree and the first d labels."""
+def _prefixes(sets: DataFrame, trees: int, d: int) -> DataFrame:
+    """(sid, key): one row a set and tree, key standing for the tree and its d labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            labels = np.frombuffer(b"".join(batch.column(1).to_pylist()), _LABEL).reshape(n, trees, depth)[:, :, :d].astype(np.uint64)
+            labels = np.frombuffer(b"".join(batch.column(1).to_pylist()), _LABEL).reshape(n, trees, d).astype(np.uint64)
             key = np.broadcast_to(np.arange(trees, dtype=np.uint64), (n, trees)).copy()
             for j in range(d):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + labels[:, :, j] + np.uint64(1))
@@ -103,31 +103,19 @@ def _star_edges(prefixes: DataFrame) -> DataFrame:
     return prefixes.join(nodes, "key").where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
 
 
-def _recalls(edges: DataFrame, sets: DataFrame, trees: int, found_at: int, depths: list[int], threshold: float) -> list[float]:
-    """Estimated share of all pairs at the threshold and above that prefixes of each depth find, from those of one depth."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), _LABEL).reshape(batch.num_rows, -1) for i in (0, 1))
-                s = (x == y).mean(axis=1)
-                s = np.maximum(s[s >= threshold - 0.05], threshold)
-                stands_for = 1 / _finds(s, found_at, trees)
-                sums = [float(stands_for.sum()), *(float((stands_for * _finds(s, d, trees)).sum()) for d in depths)]
-                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in sums], names=[f"s{i}" for i in range(len(sums))])
-
-    left = edges.join(sets.select(F.col("sid").alias("a"), F.col("labels").alias("x")), "a")
-    both = left.join(sets.select(F.col("sid").alias("b"), F.col("labels").alias("y")), "b").select("x", "y")
-    names = [f"s{i}" for i in range(len(depths) + 1)]
-    total, *each = both.mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
-    return [e / total for e in each] if total else [float(_finds(threshold, d, trees)) for d in depths]
-
-
 def _finds(s, d: int, trees: int):
     """Probability that sets of similarity s share a prefix of d labels in some tree."""
     return 1 - (1 - s**d) ** trees
 
 
+def prefix_depth(threshold: float, recall: float, trees: int, depth: int, least_depth: int) -> int:
+    """The longest prefix that finds pairs at the threshold with probability recall."""
+    for d in range(depth, least_depth - 1, -1):
+        if _finds(threshold, d, trees) >= recall:
+            return d
+    raise ValueError(f"{trees} trees of depth {least_depth} find pairs of similarity {threshold} with less than probability {recall}")
+
+
 def _jaccard_links(sets: list[np.ndarray], threshold: float, columns: int = 4096) -> np.ndarray:
     """Boolean matrix of the pairs at the threshold and above, from exact intersections."""
     n = len(sets)
@@ -167,28 +155,22 @@ def _forest(links: np.ndarray) -> np.ndarray:
     return parent
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, trees: int = 20, depth: int = 8, least_depth: int = 4, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, trees: int = 20, depth: int = 8, least_depth: int = 1, block: int = 256) -> DataFrame:
     """One row a document: (doc_id, class_id, n_links).
 
     class_id: least id of the documents that links of Jaccard similarity >= threshold reach; n_links: number of documents
     linked directly, copies counted each. Null and empty texts have no shingles: they are linked with nothing and stand for
     themselves. Rows with a null id take no part: class_id is null. Rows that repeat an id count each. An empty table
-    gives no row.
+    gives no row. A recall that prefixes of least_depth labels don't reach is an error.
     """
     spark = docs.sparkSession
     n = partitions(spark)
+    d = prefix_depth(threshold, recall, trees, depth, least_depth)
     d0 = documents(docs, id_col, text_col)
-    signed = cut(_sign(d0, k, trees * depth), "signed")
+    signed = cut(_sign(d0, k, trees * d), "signed")
     own = signed.where("sid IS NOT NULL AND doc_id IS NOT NULL")
     sets = cut(own.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels")), "sets")
-    d = depth
-    while True:
-        edges = cut(_star_edges(_prefixes(sets, trees, depth, d)), "star-edges")
-        depths = list(range(d, least_depth - 1, -1))
-        recalls = _recalls(edges, sets, trees, d, depths, threshold)
-        if recalls[0] >= recall or d == least_depth:
-            break
-        d = next((x for x, r in zip(depths, recalls, strict=True) if x < d and r >= recall), least_depth)
+    edges = cut(_star_edges(_prefixes(sets, trees, d)), "star-edges")
     parts = connected_components(edges)
     sized = with_group_value(parts, "component", "node", "members", F.count("*"), F.sum)
     members = sized.join(sets.select(F.col("sid").alias("node"), "rep", "copies"), "node")

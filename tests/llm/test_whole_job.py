@@ -2,6 +2,7 @@
 
 import random
 
+from tidelog.llm import html_text
 from tidelog.llm.near_dup import near_duplicates
 
 SCHEMA = "doc_id long, text string"
@@ -16,3 +17,12 @@ def test_near_duplicates_at_the_threshold_among_many_closer_ones(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-new], *(f"n{j}" for j in range(new))]))]
     got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [i for i in range(200) if got[2 * i + 1] != (2 * i, 1)] == []
+
+
+def test_main_text_goes_on_after_raw_elements():
+    text = lambda body: html_text.main_text(f"<article><p>one two three</p>{body}<p>four five six</p></article>")
+    for body in ("<svg/>", "<svg viewBox='0 0 1 1' />", "<svg><path/></svg>", "<iframe src=x>", "<canvas>", "<svg>", "<iframe><iframe>", "<script>x</script>", "<math/>"):
+        assert text(body) == "one two three four five six", body
+    assert text("<svg/><svg><text>t</text></svg>") == "one two three four five six"
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> is <object data=y>kept <b>here</b></object></p>") == "one two three so x=1 is kept here four five six"
+    assert text("<script>x") == text("<style>x") == "one two three"

@@ -21,13 +21,21 @@ from tidelog.llm.tables import pick
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-      | <(?P<raw>script|style|noscript|template|svg|title|iframe|object|canvas|math)\b(?:[^>"']|"[^"]*"|'[^']*')*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)
-      | <(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>
+      | <(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)
       | <[!?/a-z][^>]*(?:>|\Z)""",
     re.S | re.I | re.X,
 )
+#: Elements that are left out with all they hold. Without an end tag, scripts and styles go on to the page's end; of the
+#: others just the tag is left out.
+_RAW = frozenset("script style noscript template svg title iframe canvas".split())
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _ATTR = re.compile(r"""(class|id|role|itemprop|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset(
+    """a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark object q rp rt ruby s samp small span strike strong
+    sub sup time tt u var wbr math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover
+    mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none
+    semantics""".split()
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ASIDE_TAGS = frozenset("nav footer aside form button select option textarea label dialog menu fieldset legend datalist".split())
@@ -105,6 +113,7 @@ def _place(name: str, attrs: str, above: _Open | None) -> _Open:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; scripts, styles, comments and markup are gone, character references decoded."""
     p, at = _Page(), 0
+    unclosed: set[str] = set()
 
     def text(piece: str) -> None:
         if piece:
@@ -113,13 +122,23 @@ def blocks(page: str) -> list[Block]:
             if p.anchors:
                 p.linked += len(piece.split())
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
-            if m["raw"]:
-                p.parts.append(" ")
+            continue
+        if name in _RAW and not m["end"]:
+            p.parts.append(" ")
+            if name == "svg" and m["attrs"].endswith("/"):  # in HTML only foreign elements close themselves
+                continue
+            end = None if name in unclosed else _RAW_END[name].search(page, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = len(page)
+            else:
+                unclosed.add(name)
             continue
         inline = name in _INLINE
         if not inline:

@@ -2,7 +2,7 @@
 
 import random
 
-from tidelog.llm import html_text
+from tidelog.llm import html_text, toxicity
 from tidelog.llm.near_dup import near_duplicates
 
 SCHEMA = "doc_id long, text string"
@@ -26,3 +26,22 @@ def test_main_text_goes_on_after_raw_elements():
     assert text("<svg/><svg><text>t</text></svg>") == "one two three four five six"
     assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> is <object data=y>kept <b>here</b></object></p>") == "one two three so x=1 is kept here four five six"
     assert text("<script>x") == text("<style>x") == "one two three"
+
+
+def test_toxicity_learns_from_short_texts(spark):
+    rng = random.Random(4)
+    good, bad = [f"w{i}" for i in range(200)], ["vilestar", "vilemoon", "grumbolt"]
+    texts = [(i, " ".join([*rng.sample(good, 3), *([rng.choice(bad)] if i % 5 == 0 else [])])) for i in range(600)]
+    d = spark.createDataFrame(texts, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    held = toxicity.toxicity(d, labels).where("held_out").collect()
+    assert sum(r.predicted == (r.doc_id % 5 == 0) for r in held) / len(held) > 0.95
+
+
+def test_clean_text_does_not_stand_for_a_toxic_one(spark):
+    rng = random.Random(6)
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    rows = [(f"{p}{' vilestar' if toxic else ''}", toxic, 10 * i + 2 * n + toxic) for i, p in enumerate(passages) for n in range(2) for toxic in (0, 1)]
+    got = toxicity._sketched(spark.createDataFrame(rows, "text string, toxic int, doc_id long").repartition(4)).collect()
+    assert sum(r.toxic for r in got) == 40
+    assert {(r.toxic, r.doc_id % 10) for r in got if not r.toxic} == {(0, 0)}

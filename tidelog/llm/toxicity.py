@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,18 +164,22 @@ def _counts(sample: DataFrame, only: set[str] | None) -> DataFrame:
 
 
 def _sketched(sample: DataFrame) -> DataFrame:
-    """One row of each set of rows with the same least shingle, so that copies of a text are one witness."""
+    """One row of each set of rows of one label with the same least shingle, so that copies of a text are one witness; of a
+    text too short for a shingle, with the same words. The row with the least id stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
                 w = Words(data, offsets)
-                h, _, ptr = w.windows(5, w.hashes())
-                least = [int(h[a:b].min()) - (1 << 63) if b > a else None for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.int64())], names=[*part.schema.names, "least"])
+                words = w.hashes()
+                h, _, ptr = w.windows(5, words)
+                whole = [words[a:b].tobytes() for a, b in zip(w.row_ptr[:-1], w.row_ptr[1:], strict=True)]
+                least = [int(h[a:b].min()) if b > a else xxhash.xxh3_64_intdigest(x) for a, b, x in zip(ptr[:-1], ptr[1:], whole, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([v - (1 << 63) for v in least], pa.int64())], names=[*part.schema.names, "least"])
 
     s = sample.mapInArrow(run, "text string, toxic int, doc_id long, least long")
-    return s.dropDuplicates(["least"])
+    first = s.groupBy("least", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    return first.select("first.text", "toxic", "first.doc_id", "least")
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = 12_000, most_features: int = 384, most_voters: int = 192) -> ToxicityModel:

@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
+
 from tidelog.llm import html_text, toxicity
 from tidelog.llm.near_dup import near_duplicates
+from tidelog.llm.substring_dedup import FingerprintIndex, substring_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -45,3 +48,24 @@ def test_clean_text_does_not_stand_for_a_toxic_one(spark):
     got = toxicity._sketched(spark.createDataFrame(rows, "text string, toxic int, doc_id long").repartition(4)).collect()
     assert sum(r.toxic for r in got) == 40
     assert {(r.toxic, r.doc_id % 10) for r in got if not r.toxic} == {(0, 0)}
+
+
+def test_substring_index_is_opened_again(spark, tmp_path):
+    rng = random.Random(2)
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(30)) for _ in range(6)]
+    rows = [(i, " ".join([passages[i % 6], *(f"u{i}x{j}" for j in range(20)), passages[(i * 5 + 1) % 6]])) for i in range(24)] + [(None, passages[0]), (30, None)]
+    d = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = sorted(map(tuple, substring_dedup(d).collect()), key=str)
+    path = f"file://{tmp_path}/ix"
+    parts = [d.where("doc_id < 2"), d.where("doc_id BETWEEN 2 AND 9"), d.where("doc_id > 9 OR doc_id IS NULL")]
+    got = []
+    for n, part in zip((4, 7, 3), parts, strict=True):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got += substring_dedup(part, index_path=path).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert sorted(map(tuple, got), key=str) == want and sum(r[2] for r in want) > 600
+    again = FingerprintIndex(path, 1)
+    assert again.buckets == 4 and len(again.windows) == 3 and again.runs
+    assert sorted(map(tuple, substring_dedup(parts[1], index_path=path).collect()), key=str) == sorted((w for w in want if w[0] in range(2, 10)), key=str)
+    with pytest.raises(ValueError):
+        FingerprintIndex(path, 4, window=20)

@@ -9,16 +9,22 @@ each bucket's task sorts the new entries, merge-joins them with that bucket's fi
 batch's own run. Documents that share a fingerprint are candidates. Their windows with shared fingerprints, and no others,
 are then verified by two independent 64-bit hashes of all words; a window whose words also start in a document with a
 smaller id is removed. Runs are merged when there are more than ``fan_in``.
+
+Each addition ends with a new manifest, which names the runs that make up the index, so a later session goes on where the
+last one stopped. An index that outlives the call also keeps, for every window, its two hashes and the least document that
+has it, by bucket: windows of new documents are verified against them, without the older documents' texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +114,32 @@ def _read_bucket(path: str) -> tuple[np.ndarray, np.ndarray]:
     return unpack_sorted(z.decompress(data[8 : 8 + n])), unpack_ints(z.decompress(data[8 + n :]))
 
 
+def _least(strong: np.ndarray, weak: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each window once, by its hashes, with the least document that has it."""
+    order = np.lexsort((own, weak, strong))
+    strong, weak, own = strong[order], weak[order], own[order]
+    first = np.flatnonzero(np.concatenate([[True], (strong[1:] != strong[:-1]) | (weak[1:] != weak[:-1])])) if len(own) else np.zeros(0, np.int64)
+    return strong[first], weak[first], own[first]
+
+
+def _write_windows(path: str, strong: np.ndarray, weak: np.ndarray, own: np.ndarray) -> None:
+    z = zstandard.ZstdCompressor(level=1)
+    parts = [z.compress(x) for x in (pack_sorted(strong), weak.astype("<u4").tobytes(), pack_ints(own))]
+    f = AtomicFile(path)
+    f.write(b"".join([*(len(x).to_bytes(8, "little") for x in parts), *parts]))
+    f.close()
+
+
+def _read_windows(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    where, inner = open_fs(path)
+    with where.open_input_stream(inner) as f:
+        data = f.read()
+    at = np.cumsum([24, *(int.from_bytes(data[i : i + 8], "little") for i in (0, 8, 16))])
+    z = zstandard.ZstdDecompressor()
+    a, b, c = (z.decompress(data[i:j]) for i, j in zip(at[:-1], at[1:], strict=True))
+    return unpack_sorted(a), np.frombuffer(b, "<u4"), unpack_ints(c)
+
+
 def _merge(prints: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries of one fingerprint each; those of several documents become MANY."""
     order = np.argsort(prints, kind="stable")
@@ -118,12 +150,37 @@ def _merge(prints: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class FingerprintIndex:
-    """Runs of fingerprints in a shared folder. The list of runs is the only state besides the files."""
+    """Runs of fingerprints in a shared folder, and runs of windows with the hashes of all their words.
+
+    A folder that has a manifest is opened as its last one says, with the number of buckets it was made with. One writer
+    at a time.
+    """
 
     def __init__(self, path: str, buckets: int, *, window: int = 13, gram: int = 8, fan_in: int = 4):
         self.path, self.buckets, self.window, self.gram, self.fan_in = path, buckets, window, gram, fan_in
         self.runs: list[str] = []
+        self.windows: list[str] = []
         self.made = 0
+        self._open()
+
+    def _open(self) -> None:
+        where, inner = open_fs(self.path)
+        files = where.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+        manifests = sorted(f.path for f in files if f.base_name.startswith("manifest-") and f.base_name.endswith(".json"))
+        if not manifests:
+            return
+        with where.open_input_stream(manifests[-1]) as f:
+            m = json.loads(f.read())
+        if (m["window"], m["gram"]) != (self.window, self.gram):
+            raise ValueError(f"the index has windows of {m['window']} and grams of {m['gram']} words, not {self.window} and {self.gram}")
+        self.buckets, self.made = m["buckets"], m["made"]
+        self.runs, self.windows = ([f"{self.path}/{r}" for r in m[k]] for k in ("runs", "windows"))
+
+    def _commit(self) -> None:
+        runs, windows = ([r.rpartition("/")[2] for r in x] for x in (self.runs, self.windows))
+        f = AtomicFile(f"{self.path}/manifest-{self.made:09d}.json")
+        f.write(json.dumps({"window": self.window, "gram": self.gram, "buckets": self.buckets, "made": self.made, "runs": runs, "windows": windows}).encode())
+        f.close()
 
     def _next(self) -> str:
         self.made += 1
@@ -215,8 +272,54 @@ class FingerprintIndex:
         self.runs.append(new)
         if len(self.runs) > self.fan_in:
             self.compact(spark)
+        self._commit()
         return found.select(F.col("key").alias("grp"), "docs", "prints")
 
+    def keep_windows(self, docs: DataFrame) -> None:
+        """Store all windows of a batch (doc_id, text), against which later batches are verified."""
+        buckets, window, gram, new, named = self.buckets, self.window, self.gram, self._next(), self._name
+        schema = pa.schema([("key", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+        text = "key int, a binary, b binary, c binary"
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows: list[dict] = []
+            for batch in batches:
+                for part, data, offsets in slices(batch, "text", _CHUNK):
+                    ids = part.column(0).fill_null(NULL_ID).to_numpy()
+                    w = _Windows(Words(data, offsets), window, gram)
+                    strong, weak = w.strong(np.arange(len(w.row)))
+                    strong, weak, own = _least(strong, (weak >> np.uint64(32)).astype("<u4"), ids[w.row])
+                    cuts = [0, *_bucket_cuts(strong, buckets), len(strong)]
+                    for b in range(buckets):
+                        if cuts[b + 1] > cuts[b]:
+                            s = slice(cuts[b], cuts[b + 1])
+                            rows.append({"key": b, "a": pack_sorted(strong[s]), "b": weak[s].tobytes(), "c": pack_ints(own[s])})
+                    yield _emit(rows, schema)
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, gathered = None, []
+
+            def close() -> None:
+                if gathered:
+                    _write_windows(named(new, key), *_least(*(np.concatenate(x) for x in zip(*gathered, strict=True))))
+                    gathered.clear()
+
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["key"] != key:
+                        close()
+                        key = row["key"]
+                    gathered.append((unpack_sorted(row["a"]), np.frombuffer(row["b"], "<u4"), unpack_ints(row["c"])))
+                yield batch.slice(0, 0)
+            close()
+
+        spark = docs.sparkSession
+        blank = [F.lit(b"").alias(c) for c in "abc"]  # so that every bucket's file exists
+        dealt = docs.mapInArrow(hashed, text).unionByName(spark.range(buckets).select(F.col("id").cast("int").alias("key"), *blank))
+        dealt.repartition(min(buckets, max(partitions(spark), 1)), "key").sortWithinPartitions("key").mapInArrow(write, text).count()
+        self.windows.append(new)
+        self._commit()
+
     @staticmethod
     def _name(run: str, bucket: int) -> str:
         return f"{run}/bucket-{bucket:06d}.fpr"
@@ -269,10 +372,14 @@ def _odd(n: int) -> int:
     return n
 
 
-def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: int = 13, gram: int = 8, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, text]) of documents, given which share which fingerprints."""
+def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: int = 13, gram: int = 8, with_text: bool = False, history: tuple[str, ...] = (), buckets: int = 0) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, text]) of documents, given which share which fingerprints.
+
+    history: runs of the windows of documents that aren't in docs, in so many buckets.
+    """
     spark = docs.sparkSession
     n = partitions(spark)
+    spread, named = buckets if history else n, FingerprintIndex._name
     columns = [("kind", pa.int32()), ("key", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())]
     schema = pa.schema(columns)
     ddl = "kind int, key int, doc_id long, n_words long, sha string, text string, a binary, b binary, c binary, d binary"
@@ -326,8 +433,8 @@ def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: in
                         if later.any():
                             hits(rows, own[later], place[later])
                         strong, weak, own, place = strong[~later], weak[~later], own[~later], place[~later]
-                        cuts = [0, *_bucket_cuts(strong, n), len(strong)]
-                        for b in range(n):
+                        cuts = [0, *_bucket_cuts(strong, spread), len(strong)]
+                        for b in range(spread):
                             if cuts[b + 1] > cuts[b]:
                                 s = slice(cuts[b], cuts[b + 1])
                                 rows.append({"kind": STRONG, "key": b, "a": pack_sorted(strong[s]), "b": (weak[s] >> np.uint64(32)).astype("<u4").tobytes(), "c": pack_ints(own[s]), "d": pack_ints(place[s])})
@@ -343,7 +450,14 @@ def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: in
                 order = np.lexsort((own, weak, strong))
                 strong, weak, own, place = strong[order], weak[order], own[order], place[order]
                 first = np.flatnonzero(np.concatenate([[True], (strong[1:] != strong[:-1]) | (weak[1:] != weak[:-1])]))
-                later = own > np.repeat(own[first], np.diff([*first, len(own)]))
+                least = own[first]
+                for run in history:
+                    strong_, weak_, own_ = _read_windows(named(run, key))
+                    if len(own_):
+                        at = np.minimum(np.searchsorted(strong_, strong[first]), len(own_) - 1)
+                        same = (strong_[at] == strong[first]) & (weak_[at] == weak[first])
+                        least = np.where(same, np.minimum(least, own_[at]), least)
+                later = own > np.repeat(least, np.diff([*first, len(own)]))
                 if later.any():
                     hits(rows, own[later], place[later])
 
@@ -429,6 +543,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     The table is indexed in ``batches`` batches of ascending ids, as an incremental load would. Null and empty texts have no
     words. Null ids come after all others and never remove words of each other. Rows that repeat an id never remove words
     of each other either, and lose the words that any row of a smaller id has. An empty table gives no row.
+
+    With an index_path the index stays, and documents of earlier calls with that path count as if they were in the table;
+    they give no rows. Rows of an earlier call aren't revised, so ids should ascend from call to call; a call that is
+    repeated gives the same rows.
     """
     spark = docs.sparkSession
     d = documents(docs, id_col, text_col)
@@ -440,6 +558,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     cuts = d.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 and rows else []
     key = F.coalesce("doc_id", F.lit(NULL_ID))
     edges = [None, *sorted(set(cuts or [])), None]
+    history = tuple(index.windows)
     found = None
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         part = d
@@ -449,4 +568,6 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             part = part.where(key <= high)
         more = index.add(part, groups)
         found = more if found is None else found.unionByName(more)
-    return remove_repeats(d, found, groups, window=window, gram=gram, with_text=with_text)
+    if index_path:
+        index.keep_windows(d)
+    return remove_repeats(d, found, groups, window=window, gram=gram, with_text=with_text, history=history, buckets=index.buckets)

@@ -1,7 +1,7 @@
 """Scratch space that the driver and every executor share, and binary files in it.
 
-``spark.checkpoint.dir`` names the shared folder. It is read from the session; only where it is unset (tests, a laptop)
-does the driver pick a temporary folder of its own.
+``spark.checkpoint.dir`` names the shared folder. It is read from the session; only where it is unset and all runs on one
+machine (tests, a laptop) does the driver pick a temporary folder of its own.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path under the cluster's shared folder."""
     base = spark.conf.get(_KEY, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set(_KEY, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

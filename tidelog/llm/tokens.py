@@ -1,13 +1,14 @@
 """Token ids of many texts, as the tokenizers library gives them.
 
-The file's byte-level BPE encodes each piece of its split pattern on its own, so the ids of a text are those of its pieces
-in order. Pieces are found with numpy over code points; each distinct piece is encoded by the library once a worker and
-its ids are kept. Texts with a special token's string or with code points that this Python doesn't know go to the library
-whole.
+A byte-level tokenizer encodes each piece of its split pattern on its own, so the ids of a text are those of its pieces in
+order. Pieces are found with numpy over code points and told apart by their bytes; each distinct piece is encoded by the
+library once a worker and its ids are kept. Texts with a special token's string or with code points that this Python doesn't
+know go to the library whole, and so does every text if the file's tokenizer doesn't split as ``pieces`` does.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 
@@ -15,10 +16,9 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tidelog.llm.words import mix
+from tidelog.llm.words import FIRST, mix
 
 DEFAULT = "byte_bpe_50k.json"
-_BASE = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 18
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = range(5)
 #: Code points of the property White_Space.
@@ -68,70 +68,66 @@ def pieces(cp: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
+def splits_alike(told: dict) -> bool:
+    """Whether a tokenizer's JSON says that texts are split by the pattern of ``pieces`` and nothing else is done to them."""
+    split = told.get("pre_tokenizer") or {}
+    plain = not any(told.get(k) for k in ("normalizer", "truncation", "padding"))
+    return plain and split.get("type") == "ByteLevel" and split.get("use_regex") is True and split.get("add_prefix_space") is False
+
+
 class FastTokenizer:
-    """``encode(texts)``: ids of all texts, concatenated, and n + 1 offsets."""
+    """``encode(texts)``: ids of all texts, concatenated, and n + 1 offsets.
+
+    Known pieces of up to 15 bytes are in a hash table whose keys are the bytes themselves and their number, in two 64-bit
+    integers; longer ones are in a dict. The cache is emptied when it is full.
+    """
 
-    def __init__(self, path: str | None = None, cache_pieces: int = 1 << 21):
+    def __init__(self, path: str | None = None, cache_pieces: int = 1 << 20, cache_bytes: int = 1 << 25):
         self.tk = Tokenizer.from_file(path or public_tokenizers.path(DEFAULT))
         self.vocab_size = self.tk.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tk.get_added_tokens_decoder().values()]
+        self.by_piece = splits_alike(json.loads(self.tk.to_str()))
         self.kinds = _classes()
-        up = np.full(_CHUNK + 1, _BASE, np.uint64)
-        up[0] = 1
-        down = np.full(_CHUNK + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-        down[0] = 1
-        self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        self.most = cache_pieces
+        self.most, self.most_bytes = cache_pieces, cache_bytes
         self._clear()
 
     def _clear(self) -> None:
         self.bits = 16
-        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.keys = np.zeros((1 << self.bits, 2), np.uint64)
         self.slot = np.full(1 << self.bits, -1, np.int32)
-        self.count = 0
+        self.long: dict[bytes, int] = {}
+        self.count = self.held = 0
         self.ptr = np.zeros(1 << 12, np.int64)  # ids of piece i: ids[ptr[i]:ptr[i + 1]]
         self.ids = np.zeros(1 << 14, np.uint32)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(mix(keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ keys[:, 1]) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of known pieces, -1 for others."""
-        mask = (1 << self.bits) - 1
-        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        mask, at = (1 << self.bits) - 1, self._home(keys)
         out = self.slot[at]
-        open_ = np.flatnonzero((out >= 0) & (self.keys[at] != h))
+        open_ = np.flatnonzero((out >= 0) & (self.keys[at] != keys).any(axis=1))
         while len(open_):
             at[open_] = (at[open_] + 1) & mask
-            found = self.slot[at[open_]]
-            out[open_] = found
-            open_ = open_[(found >= 0) & (self.keys[at[open_]] != h[open_])]
+            out[open_] = found = self.slot[at[open_]]
+            open_ = open_[(found >= 0) & (self.keys[at[open_]] != keys[open_]).any(axis=1)]
         return out
 
-    def _insert(self, h: np.ndarray, numbers: np.ndarray) -> None:
-        """Distinct keys that are not there yet."""
-        mask = (1 << self.bits) - 1
-        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        todo = np.arange(len(h))
+    def _insert(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct keys that aren't there yet; the table has room for them."""
+        mask, at, todo = (1 << self.bits) - 1, self._home(keys), np.arange(len(keys))
         while len(todo):
             free = self.slot[at[todo]] < 0
             spot, who = np.unique(at[todo[free]], return_index=True)
             win = todo[free][who]
-            self.keys[spot], self.slot[spot] = h[win], numbers[win]
-            left = np.ones(len(h), bool)
-            left[win] = False
-            todo = todo[left[todo]]
+            self.keys[spot], self.slot[spot] = keys[win], numbers[win]
+            todo = np.setdiff1d(todo, win, assume_unique=True)
             at[todo] = (at[todo] + 1) & mask
 
-    def _learn(self, h: np.ndarray, strings: list[str]) -> None:
-        if self.count and self.count + len(h) > self.most:
-            self._clear()
-        n = len(strings)
-        if 2 * (self.count + n) > len(self.keys):
-            old = self.slot >= 0
-            keys, slot = self.keys[old], self.slot[old]
-            while 2 * (self.count + n) > (1 << self.bits):
-                self.bits += 1
-            self.keys = np.zeros(1 << self.bits, np.uint64)
-            self.slot = np.full(1 << self.bits, -1, np.int32)
-            self._insert(keys, slot)
+    def _learn(self, new: list[bytes]) -> np.ndarray:
+        """Numbers of pieces that aren't known yet, after the library has given their ids."""
+        n, strings = len(new), [x.decode("utf-8", "surrogatepass") for x in new]
         # Pieces of a blank and letters split again as themselves when they are joined; others go singly.
         plain = np.array([len(s) > 1 and s[0] == " " and s[1:].isalpha() for s in strings], bool)
         order, ids, sizes = [], [], []
@@ -149,8 +145,7 @@ class FastTokenizer:
         for e in self.tk.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False):
             ids.append(np.array(e.ids, np.uint32))
             sizes.append([len(e.ids)])
-        h = h[np.concatenate(order)]
-        sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+        sizes = np.concatenate(sizes).astype(np.int64)
         if self.count + n + 1 > len(self.ptr):
             self.ptr = np.concatenate([self.ptr, np.zeros(self.count + n + 1, np.int64)])
         begin = self.ptr[self.count]
@@ -159,40 +154,60 @@ class FastTokenizer:
         if end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(end, np.uint32)])
         self.ids[begin:end] = np.concatenate(ids)
-        self._insert(h, np.arange(self.count, self.count + n, dtype=np.int32))
+        numbers = np.empty(n, np.int64)
+        numbers[np.concatenate(order)] = np.arange(self.count, self.count + n)
         self.count += n
+        self.held += sum(map(len, new))
+        return numbers
+
+    def _short(self, keys: np.ndarray, raw: bytes, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Numbers of short pieces, the unknown ones learnt."""
+        number = self._find(keys)
+        due = np.flatnonzero(number < 0)
+        if len(due):
+            order = due[np.lexsort(keys[due].T)]
+            first = order[np.concatenate([[True], (keys[order[1:]] != keys[order[:-1]]).any(axis=1)])]
+            learnt = self._learn([raw[s[i] : e[i]] for i in first])
+            if 2 * self.count > len(self.keys):
+                old = self.slot >= 0
+                keys_, slot = self.keys[old], self.slot[old]
+                while 2 * self.count > 1 << self.bits:
+                    self.bits += 1
+                self.keys = np.zeros((1 << self.bits, 2), np.uint64)
+                self.slot = np.full(1 << self.bits, -1, np.int32)
+                self._insert(keys_, slot)
+            self._insert(keys[first], learnt)
+            number[due] = self._find(keys[due])
+        return number
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of texts of _CHUNK code points in all, each with one at least; None in place of what the library must do."""
-        raw = "".join(texts)
-        cp = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        kind = self.kinds[cp]
-        s = pieces(cp, kind, starts[:-1])
-        e = np.append(s[1:], len(cp))
-        total = np.empty(len(cp) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * self.up[: len(cp)], out=total[1:])
-        h = mix((total[e] - total[s]) * self.down[s] + (e - s).astype(np.uint64))
-        number = self._find(h)
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            keys, which = np.unique(h[new], return_index=True)
-            before = self.count
-            self._learn(keys, [raw[s[i] : e[i]] for i in new[which]])
-            if self.count == before + len(keys):
-                number[new] = self._find(h[new])
-            else:  # the cache was cleared
-                number = self._find(h)
-                new = np.flatnonzero(number < 0)
-                keys, which = np.unique(h[new], return_index=True)
-                self._learn(keys, [raw[s[i] : e[i]] for i in new[which]])
-                number = self._find(h)
+        """Of texts of _CHUNK code points in all, each with one at least."""
+        if self.count > self.most or self.held > self.most_bytes:
+            self._clear()
+        joint = "".join(texts)
+        cp = np.frombuffer(joint.encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        first = pieces(cp, self.kinds[cp], starts[:-1])
+        raw = joint.encode("utf-8", "surrogatepass")
+        data = np.frombuffer(raw + b"\0" * 16, np.uint8)
+        s = first if len(raw) == len(cp) else np.flatnonzero((data[: len(raw)] & 0xC0) != 0x80)[first]
+        e = np.append(s[1:], len(raw))
+        size = e - s
+        eight = np.ndarray(len(raw) + 9, "<u8", data, strides=(1,))  # the eight bytes from each place on
+        low, high = eight[s] & FIRST[np.minimum(size, 8)], eight[s + 8] & FIRST[np.clip(size - 8, 0, 7)]
+        keys = np.column_stack([low, high | size.astype(np.uint64) << np.uint64(56)])
+        short = size <= 15
+        number = np.empty(len(s), np.int64)
+        number[short] = self._short(keys[short], raw, s[short], e[short])
+        for i in np.flatnonzero(~short).tolist():
+            piece = raw[s[i] : e[i]]
+            if piece not in self.long:
+                self.long[piece] = int(self._learn([piece])[0])
+            number[i] = self.long[piece]
         size = self.ptr[number + 1] - self.ptr[number]
         at = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.ptr[number] - at[:-1], size) + np.arange(at[-1])]
-        return ids, at[np.searchsorted(s, starts)]
+        return ids, at[np.searchsorted(first, starts)]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         out, sizes, run, room = [], np.zeros(len(texts), np.int64), [], 0
@@ -208,7 +223,7 @@ class FastTokenizer:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if len(text) > _CHUNK or any(x in text for x in self.special) or (not text.isascii() and self._odd(text)):
+            if not self.by_piece or len(text) > _CHUNK or any(x in text for x in self.special) or (not text.isascii() and self._odd(text)):
                 flush()
                 ids = np.array(self.tk.encode(text, add_special_tokens=False).ids, np.uint32)
                 out.append(ids)

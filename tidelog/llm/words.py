@@ -1,39 +1,31 @@
-"""Words of many texts at once: numpy over Arrow's UTF-8 buffers, no Python string for any word.
+"""Words of many texts at once: numpy over Arrow's UTF-8 buffers, no Python string for a word of usual length.
 
-A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Hashes are polynomials modulo 2**64 with odd bases, mixed so that
-all bits are usable.
+A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. A word's hash takes its bytes eight at a time, each through a bijection
+that isn't linear, so no regular pattern of letters makes two words agree; long words go to xxh3_128. There are two such
+hashes, lanes 0 and 1, of 64 bits each. Windows of words combine their words' hashes with a random odd factor for each place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_STEP = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_MASK = (1 << 64) - 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of the first n bytes of eight
+_LONG = 64
 CHUNK_BYTES = 1 << 19
 
 
-def _power(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of a lane's base and of its inverse."""
-    have = _powers.get(lane)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        out = []
-        for base in (_BASES[lane], pow(_BASES[lane], -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = (out[0], out[1])
-        if size <= CHUNK_BYTES + 1:
-            _powers[lane] = have
-    return have
+@cache
+def _factors(k: int, lane: int) -> np.ndarray:
+    """A random odd factor for each place in a window, the same in every worker."""
+    return np.random.default_rng([k, lane]).integers(0, 1 << 63, k, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -84,25 +76,36 @@ class Words:
         return np.diff(self.row_ptr)
 
     def hashes(self, lane: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word; two lanes are independent."""
-        n = len(self.data)
-        up, down = _power(lane, n)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash of each word; both lanes together are 128 bits."""
+        size = self.end - self.start
+        h = mix((size.astype(np.uint64) + np.uint64(lane + 1)) * _LANES[lane])
+        if not len(h):
+            return h
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        long = size > _LONG
+        due, at = np.flatnonzero(~long), 0
+        while len(due):
+            block = eight[self.start[due] + at] & FIRST[np.minimum(size[due] - at, 8)]
+            h[due] = mix((h[due] ^ block) * _LANES[lane] + np.uint64(at))
+            at += 8
+            due = due[size[due] > at]
+        raw = memoryview(self.data)
+        for i in np.flatnonzero(long):
+            whole = xxhash.xxh3_128_intdigest(raw[self.start[i] : self.end[i]])
+            h[i] = np.uint64(whole >> 64 * lane & (1 << 64) - 1)
+        return h
 
     def windows(self, k: int, hashes: np.ndarray, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of the k words that start at each word, in rows of k words and more: (hashes, word numbers, row pointers)."""
         counts = np.maximum(self.counts - k + 1, 0)
         ptr = np.concatenate([[0], np.cumsum(counts)])
         first = np.repeat(self.row_ptr[:-1] - ptr[:-1], counts) + np.arange(ptr[-1])
-        step, factor = np.uint64(_STEP[lane]), 1
         h = np.zeros(max(len(hashes) - k + 1, 0), np.uint64)
-        for j in range(k):
+        for j, factor in enumerate(_factors(k, lane)):
             if len(h):
-                h += hashes[j : j + len(h)] * np.uint64(factor)
-            factor = factor * int(step) & _MASK
+                h += hashes[j : j + len(h)] * factor
         return mix(h[first]), first, ptr
 
 

@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines. One that had lines and has none left is a copy and goes; n_chars follows text."""
     left = line_dedup(docs).where("n_removed = 0 OR n_removed < n_lines")
-    changed = {"text": F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("row.text")), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    changed = {"n_chars": F.when(F.col("n_removed") > 0, F.char_length("row.text").cast("long")).otherwise(F.col("row.n_chars"))}
     return left.select(*[changed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 

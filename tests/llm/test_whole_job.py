@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import time
 
 import pytest
 
@@ -69,3 +70,54 @@ def test_substring_index_is_opened_again(spark, tmp_path):
     assert sorted(map(tuple, substring_dedup(parts[1], index_path=path).collect()), key=str) == sorted((w for w in want if w[0] in range(2, 10)), key=str)
     with pytest.raises(ValueError):
         FingerprintIndex(path, 4, window=20)
+
+
+def _article(body, attrs=""):
+    return html_text.main_text(f"<article{attrs}><p>one two three</p>{body}<p>four five six</p></article>")
+
+
+@pytest.mark.parametrize(
+    ("body", "kept"),
+    [
+        ("<svg class='i'/>", ""),
+        ("<p aria-hidden='false'>mid dle</p>", "mid dle "),
+        ("<p title='the hidden river'>mid dle</p>", "mid dle "),
+        ("<p data-id='ad'>mid dle</p>", "mid dle "),
+        ("<p class='two-side'>mid dle</p>", "mid dle "),
+        ("<p class='notice'>gone", ""),
+        ("<p>so <span class=ad>buy</span> <span hidden>no</span> on</p>", "so on "),
+        ("<ul><li>a<li>b<li class=ad>c<li>d</ul>", "a b d "),
+        ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3 "),
+        ("<a name=x><p>hello there</p>", "hello there "),
+        ("<b><div>x</b>y</div>", "xy "),
+        ("<p>a&nbsp;b &lt;i&gt; &#x41;<!-- <p>no</p> --></p>", "a b <i> A "),
+        ("<div class='comments'><p>no</div><form>no<p>no</form><nav>no</nav><aside>no</aside>", ""),
+    ],
+)
+def test_main_text_of_odd_markup(body, kept):
+    assert _article(body) == f"one two three {kept}four five six"
+
+
+def test_main_text_of_pages_made_by_rule():
+    assert _article("<p>mid</p>", " data-note='hidden gem'") == "one two three mid four five six"
+    x, y = html_text.training_table(200, seed=77)
+    assert ((html_text.default_tree().predict(x) >= 0.5) == (y > 0)).mean() > 0.98
+    used = {html_text.FEATURES[f] for f in html_text.default_tree().feature if f >= 0}
+    assert used & {"words_before", "links_before", "words_after", "links_after"}
+
+
+def test_main_text_is_linear_in_unclosed_elements():
+    began = time.process_time()
+    for page in ("<p>x" * 50_000, "<div>x" * 50_000 + "</p></b>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000):
+        html_text.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_pages_with_nulls_clashing_columns_repeated_rows_and_none(spark):
+    page = "<nav><a href=/>x</a></nav><article><h1>H</h1><p>" + "long " * 200_000 + "</p></article>"
+    rows = [(1, "u", page, "k"), (1, "u", page, "k"), (None, None, None, None), (2, "", "", "")]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string, x string").toDF("page_id", "url", "html", "HTML")
+    got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in html_text.extract_pages(p).collect() if r.url is not None)
+    text = "H " + " ".join(["long"] * 200_000)
+    assert got == [(1, "u", text, len(text)), (1, "u", text, len(text)), (2, "", "", 0)]
+    assert html_text.extract_pages(p.where("page_id = 9")).count() == 0

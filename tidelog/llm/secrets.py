@@ -8,6 +8,7 @@ Rules without mandatory trigrams are matched against every text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from re import _constants as sre
@@ -137,30 +138,64 @@ def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
     return each.groupBy("doc_id").agg(F.collect_set("kind").alias("rules"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _append_sums(values: Column) -> Column:
+    """Sums of what comes before each element. Every step copies the result so far: for short arrays only."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(values, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+
+def sums_before(values: Column, *, size: int = 32, levels: int = 3) -> Column:
+    """Sums of what comes before each element of an array<bigint> that isn't empty: within chunks of ``size`` elements, then of
+    the chunks, level by level, so that the work grows with the length and not with its square."""
+    if not levels:
+        return _append_sums(values)
+
+    def of(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1), lambda j: F.slice(v, j * size + 1, size))
+        return _let(chunks, within)
+
+    def within(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))
+        before = sums_before(totals, size=size, levels=levels - 1)
+        return F.flatten(F.zip_with(chunks, before, lambda c, b: F.transform(_append_sums(c), lambda x: x + b)))
+
+    return _let(values, of)
+
+
 def _matches(rule: Rule, order: int) -> Column:
     """Array of (start, end, order, kind) of the matches that count. The texts between matches give their places."""
-    text, pattern = F.col("text"), F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    tested = found if not rule.group else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    gaps = F.split(text, rule.pattern, -1)
-    triples = F.zip_with(F.zip_with(gaps, found, lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("size"))), tested, lambda a, t: F.struct(a["gap"].alias("gap"), a["size"].alias("size"), F.char_length(t).alias("tested")))
-    spot = "struct<start:int,end:int,ord:int,kind:string>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spot}>").alias("out"))
+    text = F.col("text")
+    spot = "struct<start:bigint,end:bigint,ord:int,kind:string>"
+
+    def measured(m: Column) -> Column:
+        own = F.regexp_extract(m, rule.pattern, rule.group) if rule.group else m
+        return F.struct(F.char_length(m).cast("long").alias("size"), F.char_length(own).alias("tested"))
+
+    def spans(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found)), lambda g: F.char_length(g).cast("long"))
+        return _let(F.zip_with(gaps, F.transform(found, measured), lambda g, m: F.struct(g.alias("gap"), m["size"].alias("size"), m["tested"].alias("tested"))), placed)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["size"], F.lit(0))
-        own = F.struct(start.alias("start"), end.alias("end"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(x["tested"] >= rule.least, F.array_append(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+    def placed(parts: Column) -> Column:
+        before = sums_before(F.transform(parts, lambda p: p["gap"] + p["size"]))
+        at = F.zip_with(parts, before, lambda p, b: F.struct((b + p["gap"]).alias("start"), (b + p["gap"] + p["size"]).alias("end"), p["tested"].alias("tested")))
+        counted = F.filter(at, lambda s: s["tested"] >= rule.least)
+        return F.transform(counted, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind")))
 
-    return F.when(F.size(found) > 0, F.aggregate(triples, zero, step)["out"]).otherwise(F.array().cast(f"array<{spot}>"))
+    none = F.array().cast(f"array<{spot}>")
+    return _let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, spans(found)).otherwise(none))
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, block_rows: int = 4096) -> DataFrame:
     """One row a document: (doc_id, spans), spans an array of (start, end, ord, kind) in code points, by start, then rule.
 
     Null texts are empty and have no spans. Rows that repeat an id are candidates together and matched each; rows with a
-    null id stand outside the index and are matched by every rule. An empty table gives no row.
+    null id stand outside the index and are matched by every rule. Extra columns, whatever their names, are ignored. An empty
+    table gives no row.
     """
     d = documents(docs, id_col, text_col)
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
@@ -174,7 +209,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     parts = []
     for order, rule in enumerate(rules):
         due = F.lit(True) if rule.kind not in indexed else F.col("doc_id").isNull() | F.coalesce(F.array_contains("rules", rule.kind), F.lit(False))
-        parts.append(F.when(due, _matches(rule, order)).otherwise(F.array().cast("array<struct<start:int,end:int,ord:int,kind:string>>")))
+        parts.append(F.when(due, _matches(rule, order)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,ord:int,kind:string>>")))
     # Spans are ordered by start, then by the place of the rule.
     spans = F.array_sort(F.transform(F.flatten(F.array(*parts)), lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return d.select("doc_id", spans.alias("spans"))

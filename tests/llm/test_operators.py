@@ -138,14 +138,15 @@ def test_secrets_against_python(spark):
 
 def test_wand_equals_scoring_everything():
     items = [(i, " ".join(random.choice(W[:120]) for _ in range(random.randint(5, 40)))) for i in range(60)]
-    index = decontaminate.Bm25Index(items, share=0.3)
+    parsed = [decontaminate.parse_item(i, t, 3) for i, t in items]
+    index = decontaminate.Bm25Index(parsed, decontaminate.Statistics.of(parsed), share=0.3)
     for _ in range(200):
         text = " ".join(random.choice(W[:120]) for _ in range(60))
         h = decontaminate.plain_words(*decontaminate.utf8(pa.array([text]))).hashes()
         terms = [t for t in np.unique(index.number(h)).tolist() if t >= 0]
         score = np.zeros(len(index.items))
         for t in terms:
-            for i, x in index.postings[t]:
+            for i, x in index.posting(t):
                 score[i] += x
         assert sorted(i for i, _ in index.search(terms)) == np.flatnonzero(score >= index.threshold - 1e-9).tolist()
 

@@ -1,11 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
 import random
+import re
 import time
+from collections import Counter
 
 import pytest
 
-from tidelog.llm import html_text, toxicity
+from tidelog.llm import decontaminate, html_text, toxicity
 from tidelog.llm.near_dup import near_duplicates
 from tidelog.llm.substring_dedup import FingerprintIndex, substring_dedup
 
@@ -121,3 +124,71 @@ def test_pages_with_nulls_clashing_columns_repeated_rows_and_none(spark):
     text = "H " + " ".join(["long"] * 200_000)
     assert got == [(1, "u", text, len(text)), (1, "u", text, len(text)), (2, "", "", 0)]
     assert html_text.extract_pages(p.where("page_id = 9")).count() == 0
+
+
+def _plain(text):
+    return re.findall(r"[^\s!-/:-@\[-`{-~]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def _leaks_by_scoring_everything(docs, items, share=0.5, overlap=0.5):
+    """Contamination without an index: every passage against every item."""
+    parsed = []
+    for i, text in items:
+        words = _plain(text)
+        ends = [m.end() for m in re.finditer(r"[.!?\n]+\s*(?=\S)", text or "")]
+        cut = len(_plain(text[: ends[-1]])) if ends else 0
+        if words:
+            parsed.append((i, words, cut if 0 < cut < len(words) else max(1, len(words) * 2 // 3)))
+    n, mean = len(parsed), sum(len(w) for _, w, _ in parsed) / max(len(parsed), 1)
+    df = Counter(t for _, w, _ in parsed for t in set(w))
+
+    def score(item, present):
+        return sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(item) / mean)) for t, f in Counter(item).items() if t in present)
+
+    def share_of(part, passage):
+        k = min(3, len(part))
+        runs, have = ({tuple(x[j : j + k]) for j in range(len(x) - k + 1)} for x in (part, passage))
+        return len(runs & have) / len(runs)
+
+    out = Counter()
+    for d, text in docs:
+        words = _plain(text)
+        for i, item, cut in parsed:
+            size = 32
+            while size < len(item):
+                size *= 2
+            best = None
+            for lo in range(0, max(len(words) - size, 1), size):
+                passage = words[lo : lo + 2 * size]
+                s = score(item, set(passage))
+                if passage and s >= share * score(item, set(item)) - 1e-9:
+                    q, a = share_of(item[:cut], passage), share_of(item[cut:] or item[:cut], passage)
+                    if min(q, a) >= overlap and (best is None or s > best):
+                        best = s
+            if best is not None:
+                out[d, i, round(best, 4)] += 1
+    return out
+
+
+@pytest.mark.parametrize("index_bytes", [1 << 20, 700])
+def test_contamination_equals_scoring_everything(spark, index_bytes):
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"T{rng.randrange(60)}" for _ in range(n))
+    items = [(i, f"{say(rng.randint(2, 30))}. {say(rng.randint(1, 8))}?") for i in range(24)] + [(24, say(150)), (25, "One"), (26, ""), (27, None), (None, say(20)), (28, say(9)), (28, say(9))]
+    docs = [(i, say(rng.randint(0, 90))) for i in range(60)] + [(60, None), (None, say(40)), (61, "one")]
+    for i, (_, text) in enumerate(items):
+        docs += [(100 + i, f"{say(rng.randint(0, 80))} {text or ''} {say(70)}"), (200 + i, f"{say(30)} {' '.join((text or '').split()[2:])} {say(30)}")]
+    docs.append(docs[70])
+    d = spark.createDataFrame(docs, SCHEMA).selectExpr("doc_id", "text", "1 AS TEXT2", "'x' AS item_id")
+    found = decontaminate.contamination(d, spark.createDataFrame(items, "item_id long, text string"), index_bytes=index_bytes)
+    got = Counter((r.doc_id, r.item_id, round(r.score, 4)) for r in found.collect())
+    assert got == _leaks_by_scoring_everything(docs, items) and sum(got.values()) > 30
+    kept = decontaminate.drop_contaminated(d, spark.createDataFrame(items, "item_id long, text string"), index_bytes=index_bytes)
+    gone = {i for i, *_ in got}
+    assert kept.columns == d.columns and Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in docs if i not in gone)
+
+
+def test_contamination_of_empty_tables(spark):
+    none, some = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([(1, "a b c d")], SCHEMA)
+    assert decontaminate.contamination(some, none).count() == 0 and decontaminate.drop_contaminated(some, none).count() == 1
+    assert decontaminate.contamination(some.limit(0), some.withColumnRenamed("doc_id", "item_id")).count() == 0

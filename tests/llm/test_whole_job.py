@@ -4,8 +4,10 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidelog.llm import decontaminate, html_text, toxicity
@@ -192,3 +194,48 @@ def test_contamination_of_empty_tables(spark):
     none, some = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([(1, "a b c d")], SCHEMA)
     assert decontaminate.contamination(some, none).count() == 0 and decontaminate.drop_contaminated(some, none).count() == 1
     assert decontaminate.contamination(some.limit(0), some.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_label_model_estimates_the_annotator_and_correlated_voters():
+    rng = np.random.default_rng(5)
+    n = 6000
+    y = rng.random(n) < 0.2
+    own = rng.random((n, 10)) < np.where(y[:, None], 0.4, 0.03)
+    votes = np.column_stack([own, own[:, 0], own[:, 0] & (rng.random(n) < 0.95)])
+    annotator = (y ^ (rng.random(n) < 0.15)).astype(int)
+    model, posterior = toxicity.fit_label_model(votes, annotator)
+    assert abs(model.told[0] - 0.15) < 0.03 and abs(model.told[1] - 0.85) < 0.05 and abs(model.prior - 0.2) < 0.03
+    assert ((posterior > 0.5) == y).mean() > 0.95 > (annotator == y).mean() + 0.05
+    copies = {0, 10, 11}
+    assert sum(int(model.parent[j]) in copies for j in copies) == 2
+    assert all(model.parent[j] == -1 or abs(model.fires[:, 1, j] - model.fires[:, 0, j]).max() < 0.2 for j in range(1, 10))
+
+
+def test_wrong_labels_do_not_spoil_scores(spark):
+    rng = random.Random(3)
+    good, bad = [f"w{i}" for i in range(300)], ["vilestar", "vilemoon", "grumbolt", "snarl", "drossel", "kretch"]
+    texts, labels = [], []
+    for i in range(3000):
+        toxic = i % 5 == 0
+        texts.append((i, " ".join(rng.sample(good, 30) + (rng.sample(bad, 3) if toxic else []))))
+        labels.append((i, int(toxic != (rng.random() < 0.1))))
+    d = spark.createDataFrame(texts, SCHEMA)
+    scored = toxicity.toxicity(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert sum(r.predicted == (r.doc_id % 5 == 0) for r in scored) / len(scored) > 0.99
+
+
+def test_toxicity_of_nulls_repeats_clashes_and_none(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["sun", "sea", "sky", "fog"]) for _ in range(9)) + (" vile" if i % 3 == 0 else "")) for i in range(300)]
+    d = spark.createDataFrame([*rows, *rows[:40], (None, "vile"), (400, None), (401, ""), (402, "sea " * 300_000)], SCHEMA).selectExpr("doc_id", "text", "1 AS score", "'x' AS TEXT")
+    labels = [(i, int(i % 3 == 0)) for i in range(300)]
+    told = spark.createDataFrame([*labels, (None, 1), (7, None), (8, 0)], "doc_id long, toxic int")
+    score = lambda l: sorted((r.doc_id or -1, r.held_out, r.score, r.predicted) for r in toxicity.toxicity(d, l).collect())
+    want = score(told)
+    assert len(want) == 344 and all(r[3] == (r[0] % 3 == 0) for r in want if 0 <= r[0] < 300)
+    # Labels of held-out documents have no effect.
+    flipped = [(i, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, t in labels]
+    assert score(spark.createDataFrame(flipped, "doc_id long, toxic int")) == want
+    assert toxicity.toxicity(d.limit(0), told).count() == 0 and toxicity.toxicity(d, told.limit(0)).where("predicted = 1").count() == 0
+    kept = toxicity.reject_toxic(d, toxicity.train_toxicity(d, told))
+    assert kept.columns == d.columns and sorted(r[0] for r in kept.collect() if r[0] is not None) == [i for i, _, _, p in want if not p and i >= 0]

@@ -92,39 +92,42 @@ class FastTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.bits = 16
-        self.keys = np.zeros((1 << self.bits, 2), np.uint64)
-        self.slot = np.full(1 << self.bits, -1, np.int32)
+        self._empty(16)
         self.long: dict[bytes, int] = {}
         self.count = self.held = 0
         self.ptr = np.zeros(1 << 12, np.int64)  # ids of piece i: ids[ptr[i]:ptr[i + 1]]
         self.ids = np.zeros(1 << 14, np.uint32)
 
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(mix(keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ keys[:, 1]) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def _home(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix(mix(low * np.uint64(0x9E3779B97F4A7C15)) ^ high) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Numbers of known pieces, -1 for others."""
-        mask, at = (1 << self.bits) - 1, self._home(keys)
+        mask, at = (1 << self.bits) - 1, self._home(low, high)
         out = self.slot[at]
-        open_ = np.flatnonzero((out >= 0) & (self.keys[at] != keys).any(axis=1))
+        open_ = np.flatnonzero((out >= 0) & ((self.low[at] != low) | (self.high[at] != high)))
         while len(open_):
-            at[open_] = (at[open_] + 1) & mask
-            out[open_] = found = self.slot[at[open_]]
-            open_ = open_[(found >= 0) & (self.keys[at[open_]] != keys[open_]).any(axis=1)]
+            at[open_] = spot = (at[open_] + 1) & mask
+            out[open_] = found = self.slot[spot]
+            open_ = open_[(found >= 0) & ((self.low[spot] != low[open_]) | (self.high[spot] != high[open_]))]
         return out
 
-    def _insert(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+    def _insert(self, low: np.ndarray, high: np.ndarray, numbers: np.ndarray) -> None:
         """Distinct keys that aren't there yet; the table has room for them."""
-        mask, at, todo = (1 << self.bits) - 1, self._home(keys), np.arange(len(keys))
+        mask, at, todo = (1 << self.bits) - 1, self._home(low, high), np.arange(len(low))
         while len(todo):
             free = self.slot[at[todo]] < 0
             spot, who = np.unique(at[todo[free]], return_index=True)
             win = todo[free][who]
-            self.keys[spot], self.slot[spot] = keys[win], numbers[win]
+            self.low[spot], self.high[spot], self.slot[spot] = low[win], high[win], numbers[win]
             todo = np.setdiff1d(todo, win, assume_unique=True)
             at[todo] = (at[todo] + 1) & mask
 
+    def _empty(self, bits: int) -> None:
+        self.bits = bits
+        self.low, self.high = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.slot = np.full(1 << bits, -1, np.int32)
+
     def _learn(self, new: list[bytes]) -> np.ndarray:
         """Numbers of pieces that aren't known yet, after the library has given their ids."""
         n, strings = len(new), [x.decode("utf-8", "surrogatepass") for x in new]
@@ -160,24 +163,21 @@ class FastTokenizer:
         self.held += sum(map(len, new))
         return numbers
 
-    def _short(self, keys: np.ndarray, raw: bytes, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    def _short(self, low: np.ndarray, high: np.ndarray, raw: bytes, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """Numbers of short pieces, the unknown ones learnt."""
-        number = self._find(keys)
+        number = self._find(low, high)
         due = np.flatnonzero(number < 0)
         if len(due):
-            order = due[np.lexsort(keys[due].T)]
-            first = order[np.concatenate([[True], (keys[order[1:]] != keys[order[:-1]]).any(axis=1)])]
+            order = due[np.lexsort((low[due], high[due]))]
+            first = order[np.concatenate([[True], (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])])]
             learnt = self._learn([raw[s[i] : e[i]] for i in first])
-            if 2 * self.count > len(self.keys):
-                old = self.slot >= 0
-                keys_, slot = self.keys[old], self.slot[old]
-                while 2 * self.count > 1 << self.bits:
-                    self.bits += 1
-                self.keys = np.zeros((1 << self.bits, 2), np.uint64)
-                self.slot = np.full(1 << self.bits, -1, np.int32)
-                self._insert(keys_, slot)
-            self._insert(keys[first], learnt)
-            number[due] = self._find(keys[due])
+            if 2 * self.count > 1 << self.bits:
+                old = np.flatnonzero(self.slot >= 0)
+                known = self.low[old], self.high[old], self.slot[old]
+                self._empty((2 * self.count).bit_length())
+                self._insert(*known)
+            self._insert(low[first], high[first], learnt)
+            number[due] = self._find(low[due], high[due])
         return number
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,11 +195,11 @@ class FastTokenizer:
         size = e - s
         eight = np.ndarray(len(raw) + 9, "<u8", data, strides=(1,))  # the eight bytes from each place on
         low, high = eight[s] & FIRST[np.minimum(size, 8)], eight[s + 8] & FIRST[np.clip(size - 8, 0, 7)]
-        keys = np.column_stack([low, high | size.astype(np.uint64) << np.uint64(56)])
-        short = size <= 15
+        high |= size.astype(np.uint64) << np.uint64(56)
+        short = np.flatnonzero(size <= 15)
         number = np.empty(len(s), np.int64)
-        number[short] = self._short(keys[short], raw, s[short], e[short])
-        for i in np.flatnonzero(~short).tolist():
+        number[short] = self._short(low[short], high[short], raw, s[short], e[short])
+        for i in np.flatnonzero(size > 15).tolist():
             piece = raw[s[i] : e[i]]
             if piece not in self.long:
                 self.long[piece] = int(self._learn([piece])[0])

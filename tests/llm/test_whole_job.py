@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidelog.llm import decontaminate, html_text, toxicity
+from tidelog.llm import decontaminate, html_text, near_dup, toxicity
 from tidelog.llm.near_dup import near_duplicates
 from tidelog.llm.substring_dedup import FingerprintIndex, substring_dedup
 
@@ -239,3 +239,94 @@ def test_toxicity_of_nulls_repeats_clashes_and_none(spark):
     assert toxicity.toxicity(d.limit(0), told).count() == 0 and toxicity.toxicity(d, told.limit(0)).where("predicted = 1").count() == 0
     kept = toxicity.reject_toxic(d, toxicity.train_toxicity(d, told))
     assert kept.columns == d.columns and sorted(r[0] for r in kept.collect() if r[0] is not None) == [i for i, _, _, p in want if not p and i >= 0]
+
+
+def _classes_by_all_pairs(rows, k=5, threshold=0.8):
+    """{(id, text): (class, links)} and the number of links between different sets."""
+    sets = {}
+    for i, text in rows:
+        w = (text or "").split()
+        if w and i is not None:
+            sets.setdefault(frozenset(tuple(w[j : j + k]) for j in range(max(len(w) - k + 1, 1))), []).append((i, text))
+    keys = list(sets)
+    parent = list(range(len(keys)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links, pairs = [len(sets[s]) - 1 for s in keys], 0
+    where = {}
+    for x, s in enumerate(keys):
+        for y in {y for g in s for y in where.get(g, ())}:
+            if len(s & keys[y]) >= threshold * len(s | keys[y]) - 1e-9:
+                links[x] += len(sets[keys[y]])
+                links[y] += len(sets[s])
+                pairs += 1
+                a, b = root(x), root(y)
+                parent[a] = b
+        for g in s:
+            where.setdefault(g, []).append(x)
+    least = {}
+    for x, s in enumerate(keys):
+        least[root(x)] = min(least.get(root(x), 1 << 62), *(i for i, _ in sets[s]))
+    return {d: (least[root(x)], links[x]) for x, s in enumerate(keys) for d in sets[s]}, pairs
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    rng = random.Random(12)
+    rows, word = [], lambda: f"v{rng.randrange(10**6)}"
+    for _ in range(260):
+        base = [word() for _ in range(rng.choice([4, 5, 8, 9, 11, 12, 20, 60, 104, 200]))]
+        for _ in range(rng.choice([1, 1, 2, 3, 5])):
+            text = list(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                at = rng.choice([0, len(text) - 1, len(text) - 1, rng.randrange(len(text))])
+                text[at : at + 1] = rng.choice([[], [word()], [text[at], word()]])
+                text = text or [word()]
+            rows.append((rng.randrange(10**9), " ".join(text)))
+    base = [word() for _ in range(300)]
+    rows += [(10**10 + i, " ".join([*base[: 260 + i % 41], f"x{i % 90}"])) for i in range(400)]  # one large class
+    rows += [rows[3], (rows[5][0], rows[9][1]), (None, rows[2][1]), (7, None), (8, ""), (9, "word " * 400_000)]
+    want, pairs = _classes_by_all_pairs(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    d = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "1 AS sid", "'x' AS TEXT").repartition(5)
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in near_duplicates(d, block=64).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    expected = Counter((i, *want.get((i, t), (i, 0))) if i is not None else (None, None, 0) for i, t in rows)
+    wrong = sum((expected - got).values())
+    assert pairs > 5000 and wrong == 0, wrong
+
+
+def test_trie_edges_join_every_node(spark):
+    rng = np.random.default_rng(4)
+    n, trees, depth = 300, 3, 4
+    labels = rng.integers(0, 3, (n, trees, depth)).astype(np.uint16)
+    size = rng.choice([4, 6, 20], n)
+    depths = np.array([0, 0, 0, 0, 4, 4, 3, 2], np.int8)
+    rows = [(i.to_bytes(2, "big"), int(size[i]), labels[i].tobytes()) for i in range(n)]
+    for parts in (1, 5, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        sets = spark.createDataFrame(rows, "sid binary, size int, labels binary")
+        edges = near_dup._candidate_edges(near_dup._trie_rows(sets, trees, depth, depths), [2, 3, 4], 1 + 2 * depth)
+        found = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in edges.collect()}
+        assert all(any((labels[a, t, :2] == labels[b, t, :2]).all() for t in range(trees)) for a, b in found)
+        own = depths[np.minimum(size, 7)]
+        for t in range(trees):
+            for level in (2, 3, 4):
+                nodes = {}
+                for i in np.flatnonzero(own <= level):
+                    nodes.setdefault(labels[i, t, :level].tobytes(), set()).add(int(i))
+                for node in nodes.values():  # the edges inside a node connect it
+                    reached, front = set(), {min(node)}
+                    while front:
+                        reached |= front
+                        front = {y for a, b in found for x, y in ((a, b), (b, a)) if x in front and y in node} - reached
+                    assert reached == node
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_recall_that_cannot_be_reached_is_an_error(spark):
+    with pytest.raises(ValueError):
+        near_duplicates(spark.createDataFrame([(1, "a b c d e f g h")], SCHEMA), trees=2, least_depth=3)

@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
+import hashlib
 import math
 import random
 import re
@@ -330,3 +331,37 @@ def test_trie_edges_join_every_node(spark):
 def test_recall_that_cannot_be_reached_is_an_error(spark):
     with pytest.raises(ValueError):
         near_duplicates(spark.createDataFrame([(1, "a b c d e f g h")], SCHEMA), trees=2, least_depth=3)
+
+
+def _removed_by_windows(rows, size=13):
+    """Words removed from each row, by comparing all windows."""
+    least = {}
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        for j in range(len(w) - size + 1):
+            k = tuple(w[j : j + size])
+            least[k] = min(least.get(k, 1 << 63), 1 << 63 if i is None else i)
+    out = []
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        gone = {j + s for j in range(len(w) - size + 1) if least[tuple(w[j : j + size])] < (1 << 63 if i is None else i) for s in range(size)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    return out
+
+
+def test_substrings_equal_all_windows(spark):
+    rng = random.Random(1)
+    word = lambda: rng.choice(["a", "b", "héé", "x\x1cy"] + [f"w{rng.randrange(10**5)}"] * 3)
+    passages = [" ".join(word() for _ in range(n)) for n in (12, 13, 14, 50, 90)]
+    odd = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = odd.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"t{i}" for i in range(12))
+    rows = [(1, f"{odd} {tail}"), (2, f"{other} {tail}"), (3, f"{odd} {tail}")]
+    rows += [(i, " \t\n".join([*(word() for _ in range(rng.randrange(20))), rng.choice(passages), word(), rng.choice(passages)])) for i in range(4, 300)]
+    rows += [(5, passages[3]), (None, passages[4]), (None, passages[4] + " z"), ((1 << 63) - 1, passages[4]), (-(1 << 63), passages[3]), (400, None), (401, ""), (402, " ".join(["z"] * 200_000)), (403, " ".join(["z"] * 30))]
+    d = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "1 AS key", "'x' AS TEXT").repartition(3)
+    got = substring_dedup(d, with_text=True).collect()
+    key = lambda r: (str(r[0]), *r[1:])
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=key) == sorted((r[:4] for r in _removed_by_windows(rows)), key=key)
+    assert Counter(" ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in got) == Counter(r[4] for r in _removed_by_windows(rows))

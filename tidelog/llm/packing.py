@@ -65,7 +65,7 @@ def token_pieces(docs: DataFrame, *, size: int = 1024, id_col: str = "doc_id", t
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk = tokenizer(tokenizer_path)
         for batch in batches:
-            for rows, _, _ in slices(batch, "text", 4 << 20):
+            for rows, _, _ in slices(batch, "text", 1 << 20):
                 ids, ptr = with_end(*tk.encode(rows.column(1).to_pylist()), end_id)
                 total = np.diff(ptr)
                 n = -(-total // size)

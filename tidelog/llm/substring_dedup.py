@@ -7,8 +7,8 @@ The index is a directory of immutable runs. A run holds, for every hash bucket,
 the document that has it, or MANY. A batch of documents is fingerprinted where it lies and aggregated per chunk of text;
 each bucket's task sorts the new entries, merge-joins them with that bucket's files of all earlier runs, and writes the
 batch's own run. Documents that share a fingerprint are candidates. Their windows with shared fingerprints, and no others,
-are then verified by two independent 64-bit hashes of all words; a window whose words also start in a document with a
-smaller id is removed. Runs are merged when there are more than ``fan_in``.
+are then verified by 128-bit hashes of all words' bytes; a window whose words also start in a document with a smaller id
+is removed. Runs are merged when there are more than ``fan_in``.
 
 Each addition ends with a new manifest, which names the runs that make up the index, so a later session goes on where the
 last one stopped. An index that outlives the call also keeps, for every window, its two hashes and the least document that
@@ -35,6 +35,7 @@ from tidelog.llm.words import CHUNK_BYTES, Words, slices
 MANY = -(1 << 63)
 NULL_ID = (1 << 63) - 1
 _CHUNK = CHUNK_BYTES
+_NTH = 40  # of a window's place in its row, the bits above say which row of its id that is
 
 
 def _runs_of(values: np.ndarray) -> np.ndarray:
@@ -89,6 +90,19 @@ def _digest(words: Words, keep: np.ndarray | None = None) -> list[str]:
     return [hashlib.sha256(out[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def _zip(*parts: bytes) -> bytes:
+    """Parts as one compressed byte string."""
+    sizes = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes, *parts]))
+
+
+def _unzip(data: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(data[:8], "little")
+    edges = np.cumsum([8 + 8 * n, *np.frombuffer(data, "<i8", n, 8)])
+    return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def _emit(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     batch = pa.RecordBatch.from_pylist(rows, schema=schema)
     rows.clear()
@@ -99,19 +113,20 @@ def _emit(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _write_bucket(path: str, prints: np.ndarray, docs: np.ndarray) -> None:
-    z = zstandard.ZstdCompressor(level=1)
-    a, b = z.compress(pack_sorted(prints)), z.compress(pack_ints(docs))
     f = AtomicFile(path)
-    f.write(len(a).to_bytes(8, "little") + a + b)
+    f.write(_zip(pack_sorted(prints), pack_ints(docs)))
     f.close()
 
 
 def _read_bucket(path: str) -> tuple[np.ndarray, np.ndarray]:
+    prints, docs = _unzip(_bytes(path))
+    return unpack_sorted(prints), unpack_ints(docs)
+
+
+def _bytes(path: str) -> bytes:
     where, inner = open_fs(path)
     with where.open_input_stream(inner) as f:
-        data = f.read()
-    n, z = int.from_bytes(data[:8], "little"), zstandard.ZstdDecompressor()
-    return unpack_sorted(z.decompress(data[8 : 8 + n])), unpack_ints(z.decompress(data[8 + n :]))
+        return f.read()
 
 
 def _least(strong: np.ndarray, weak: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,22 +137,24 @@ def _least(strong: np.ndarray, weak: np.ndarray, own: np.ndarray) -> tuple[np.nd
     return strong[first], weak[first], own[first]
 
 
+def _pack_windows(strong: np.ndarray, weak: np.ndarray, own: np.ndarray, *more: np.ndarray) -> bytes:
+    """Windows by both hashes (strong: sorted), and whatever integers belong to them."""
+    return _zip(pack_sorted(strong), weak.astype("<u8").tobytes(), *map(pack_ints, (own, *more)))
+
+
+def _unpack_windows(data: bytes) -> tuple[np.ndarray, ...]:
+    strong, weak, *more = _unzip(data)
+    return unpack_sorted(strong), np.frombuffer(weak, "<u8"), *map(unpack_ints, more)
+
+
 def _write_windows(path: str, strong: np.ndarray, weak: np.ndarray, own: np.ndarray) -> None:
-    z = zstandard.ZstdCompressor(level=1)
-    parts = [z.compress(x) for x in (pack_sorted(strong), weak.astype("<u4").tobytes(), pack_ints(own))]
     f = AtomicFile(path)
-    f.write(b"".join([*(len(x).to_bytes(8, "little") for x in parts), *parts]))
+    f.write(_pack_windows(strong, weak, own))
     f.close()
 
 
-def _read_windows(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    where, inner = open_fs(path)
-    with where.open_input_stream(inner) as f:
-        data = f.read()
-    at = np.cumsum([24, *(int.from_bytes(data[i : i + 8], "little") for i in (0, 8, 16))])
-    z = zstandard.ZstdDecompressor()
-    a, b, c = (z.decompress(data[i:j]) for i, j in zip(at[:-1], at[1:], strict=True))
-    return unpack_sorted(a), np.frombuffer(b, "<u4"), unpack_ints(c)
+def _read_windows(path: str) -> tuple[np.ndarray, ...]:
+    return _unpack_windows(_bytes(path))
 
 
 def _merge(prints: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,8 +295,8 @@ class FingerprintIndex:
     def keep_windows(self, docs: DataFrame) -> None:
         """Store all windows of a batch (doc_id, text), against which later batches are verified."""
         buckets, window, gram, new, named = self.buckets, self.window, self.gram, self._next(), self._name
-        schema = pa.schema([("key", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-        text = "key int, a binary, b binary, c binary"
+        schema = pa.schema([("key", pa.int32()), ("a", pa.binary())])
+        text = "key int, a binary"
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: list[dict] = []
@@ -288,20 +305,21 @@ class FingerprintIndex:
                     ids = part.column(0).fill_null(NULL_ID).to_numpy()
                     w = _Windows(Words(data, offsets), window, gram)
                     strong, weak = w.strong(np.arange(len(w.row)))
-                    strong, weak, own = _least(strong, (weak >> np.uint64(32)).astype("<u4"), ids[w.row])
+                    strong, weak, own = _least(strong, weak, ids[w.row])
                     cuts = [0, *_bucket_cuts(strong, buckets), len(strong)]
                     for b in range(buckets):
                         if cuts[b + 1] > cuts[b]:
                             s = slice(cuts[b], cuts[b + 1])
-                            rows.append({"key": b, "a": pack_sorted(strong[s]), "b": weak[s].tobytes(), "c": pack_ints(own[s])})
+                            rows.append({"key": b, "a": _pack_windows(strong[s], weak[s], own[s])})
                     yield _emit(rows, schema)
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, gathered = None, []
 
             def close() -> None:
-                if gathered:
-                    _write_windows(named(new, key), *_least(*(np.concatenate(x) for x in zip(*gathered, strict=True))))
+                if key is not None:
+                    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    _write_windows(named(new, key), *_least(*(np.concatenate(x) for x in zip(none, *gathered, strict=True))))
                     gathered.clear()
 
             for batch in batches:
@@ -309,13 +327,14 @@ class FingerprintIndex:
                     if row["key"] != key:
                         close()
                         key = row["key"]
-                    gathered.append((unpack_sorted(row["a"]), np.frombuffer(row["b"], "<u4"), unpack_ints(row["c"])))
+                    if row["a"]:
+                        gathered.append(_unpack_windows(row["a"]))
                 yield batch.slice(0, 0)
             close()
 
         spark = docs.sparkSession
-        blank = [F.lit(b"").alias(c) for c in "abc"]  # so that every bucket's file exists
-        dealt = docs.mapInArrow(hashed, text).unionByName(spark.range(buckets).select(F.col("id").cast("int").alias("key"), *blank))
+        blank = spark.range(buckets).select(F.col("id").cast("int").alias("key"), F.lit(b"").alias("a"))  # so that every bucket's file exists
+        dealt = docs.mapInArrow(hashed, text).unionByName(blank)
         dealt.repartition(min(buckets, max(partitions(spark), 1)), "key").sortWithinPartitions("key").mapInArrow(write, text).count()
         self.windows.append(new)
         self._commit()
@@ -380,9 +399,10 @@ def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: in
     spark = docs.sparkSession
     n = partitions(spark)
     spread, named = buckets if history else n, FingerprintIndex._name
-    columns = [("kind", pa.int32()), ("key", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())]
+    columns = [("kind", pa.int32()), ("key", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("a", pa.binary())]
     schema = pa.schema(columns)
-    ddl = "kind int, key int, doc_id long, n_words long, sha string, text string, a binary, b binary, c binary, d binary"
+    ddl = "kind int, key int, doc_id long, n_words long, sha string, text string, a binary"
+    columns_of = {name: i for i, (name, _) in enumerate(columns)}
     FINAL, TEXT, STRONG, HIT = range(4)
 
     def hits(rows: list[dict], ids: np.ndarray, at: np.ndarray) -> None:
@@ -390,10 +410,11 @@ def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: in
         order = np.lexsort((at, ids, grp))
         ids, at, grp = ids[order], at[order], grp[order]
         for x, y in zip(s := _runs_of(grp), [*s[1:], len(grp)], strict=True):
-            rows.append({"kind": HIT, "key": int(grp[x]), "a": pack_ints(ids[x:y]), "b": pack_ints(at[x:y])})
+            rows.append({"kind": HIT, "key": int(grp[x]), "a": _zip(pack_ints(ids[x:y]), pack_ints(at[x:y]))})
 
     def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grp, marks, known, rows = None, [], None, []
+        before, after = None, 0  # the last row's id, and how many rows so far have it
         for batch in batches:
             i, kinds, keys = 0, batch.column(0).to_numpy(), batch.column(1).to_numpy()
             while i < batch.num_rows:
@@ -410,6 +431,9 @@ def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: in
                     known = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint64)
                 for rows_, data, offsets in slices(part, "text", _CHUNK):
                     ids = rows_.column(2).fill_null(NULL_ID).to_numpy()
+                    nth = np.arange(len(ids)) - np.repeat(s := _runs_of(ids), np.diff([*s, len(ids)]))
+                    nth[ids == ids[0]] += after if ids[0] == before else 0
+                    before, after = ids[-1], nth[-1] + 1
                     words = Words(data, offsets)
                     w = _Windows(words, window, gram)
                     mark = w.print ^ _spread(ids)[w.row]
@@ -418,13 +442,17 @@ def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: in
                     hit = np.flatnonzero(known[at] == mark) if len(known) else np.zeros(0, np.int64)
                     due = np.zeros(len(ids), bool)
                     due[w.row[hit]] = True
-                    counts, sha = words.counts, _digest(words)
-                    texts = rows_.column(3).to_pylist() if with_text or due.any() else None
-                    for r in range(len(ids)):
-                        rows.append({"kind": TEXT if due[r] else FINAL, "key": int(np.mod(ids[r], groups)), "doc_id": int(ids[r]), "n_words": int(counts[r]), "sha": sha[r], "text": texts[r] if due[r] or with_text else None})
+                    null, counts, sha = rows_.column(2).is_null().to_pylist(), words.counts, _digest(words)
+                    texts = rows_.column(3).to_pylist() if with_text else None
+                    for r in np.flatnonzero(~due).tolist():
+                        rows.append({"kind": FINAL, "key": int(grp), "doc_id": None if null[r] else int(ids[r]), "n_words": int(counts[r]), "sha": sha[r], "text": texts[r] if with_text else None})
+                    if due.any():
+                        size = np.diff(offsets)
+                        kept = [pack_ints(ids[due]), pack_ints(nth[due]), np.array(null)[due].tobytes(), pack_ints(size[due]), data[np.repeat(due, size)].tobytes()]
+                        rows.append({"kind": TEXT, "key": int(grp), "a": _zip(*kept)})
                     if len(hit):
                         strong, weak = w.strong(hit)
-                        own, place = ids[w.row[hit]], w.first[hit] - words.row_ptr[w.row[hit]]
+                        own, place = ids[w.row[hit]], w.first[hit] - words.row_ptr[w.row[hit]] + (nth[w.row[hit]] << _NTH)
                         order = np.lexsort((place, own, weak, strong))
                         strong, weak, own, place = strong[order], weak[order], own[order], place[order]
                         first = np.flatnonzero(np.concatenate([[True], (strong[1:] != strong[:-1]) | (weak[1:] != weak[:-1])]))
@@ -437,7 +465,7 @@ def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: in
                         for b in range(spread):
                             if cuts[b + 1] > cuts[b]:
                                 s = slice(cuts[b], cuts[b + 1])
-                                rows.append({"kind": STRONG, "key": b, "a": pack_sorted(strong[s]), "b": (weak[s] >> np.uint64(32)).astype("<u4").tobytes(), "c": pack_ints(own[s]), "d": pack_ints(place[s])})
+                                rows.append({"kind": STRONG, "key": b, "a": _pack_windows(strong[s], weak[s], own[s], place[s])})
                     yield _emit(rows, schema)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,7 +494,7 @@ def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: in
                 if row["key"] != key:
                     close()
                     key = row["key"]
-                gathered.append((unpack_sorted(row["a"]), np.frombuffer(row["b"], "<u4"), unpack_ints(row["c"]), unpack_ints(row["d"])))
+                gathered.append(_unpack_windows(row["a"]))
             if rows:
                 yield _emit(rows, schema)
         close()
@@ -486,39 +514,41 @@ def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: in
                     grp, marks, known = keys[i0], [], None
                 if kinds[i0] == -1:
                     for row in part.to_pylist():
-                        marks.append((unpack_ints(row["a"]), unpack_ints(row["b"])))
+                        marks.append(tuple(map(unpack_ints, _unzip(row["a"]))))
                     continue
                 if known is None:
                     known = tuple(np.concatenate(x) for x in zip(*marks, strict=True)) if marks else (np.zeros(0, np.int64),) * 2
                     order = np.lexsort(known[::-1])
                     known = (known[0][order], known[1][order])
-                for rows_, data, offsets in slices(part, "text", _CHUNK):
-                    ids = rows_.column(2).to_numpy()
-                    words = Words(data, offsets)
+                for row in part.column(columns_of["a"]).to_pylist():
+                    ids, nth, null, size, data = _unzip(row)
+                    ids, nth, null, size = unpack_ints(ids), unpack_ints(nth), np.frombuffer(null, bool), unpack_ints(size)
+                    words = Words(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(size)]))
                     cover = np.zeros(len(words.start) + 1, np.int32)
-                    for r, doc in enumerate(ids):
-                        a, b = np.searchsorted(known[0], [doc, doc + 1] if doc < NULL_ID else [doc, doc])
-                        at = known[1][a:b] + words.row_ptr[r]
+                    for r, (a, b) in enumerate(zip(np.searchsorted(known[0], ids), np.searchsorted(known[0], ids, side="right"), strict=True)):
+                        own = known[1][a:b]
+                        low, high = np.searchsorted(own, [nth[r] << _NTH, nth[r] + 1 << _NTH])
+                        at = own[low:high] - (nth[r] << _NTH) + words.row_ptr[r]
                         at = at[at + window <= words.row_ptr[r + 1]]
                         np.add.at(cover, at, 1)
                         np.add.at(cover, at + window, -1)
                     keep = np.cumsum(cover[:-1]) == 0
-                    removed = np.array([np.count_nonzero(~keep[words.row_ptr[r] : words.row_ptr[r + 1]]) for r in range(len(ids))], np.int64)
-                    arrays = [pa.array(ids, mask=ids == NULL_ID), pa.array(words.counts), pa.array(removed), pa.array(_digest(words, keep))]
+                    removed = [int(np.count_nonzero(~keep[a:b])) for a, b in zip(words.row_ptr[:-1], words.row_ptr[1:], strict=True)]
+                    arrays = [pa.array(ids, mask=null), pa.array(words.counts), pa.array(removed, pa.int64()), pa.array(_digest(words, keep), pa.string())]
                     if with_text:
-                        arrays.append(pa.array(_kept_texts(words, keep)))
+                        arrays.append(pa.array(_kept_texts(words, keep), pa.string()))
                     yield pa.RecordBatch.from_arrays(arrays, schema=out_schema)
 
     marks = found.select(F.lit(0).alias("kind"), F.col("grp").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "prints", "docs")
     texts = docs.select(F.lit(1).alias("kind"), F.pmod(F.coalesce("doc_id", F.lit(NULL_ID)), F.lit(groups)).cast("int").alias("key"), "doc_id", "text", F.lit(None).cast("binary").alias("prints"), F.lit(None).cast("binary").alias("docs"))
-    met = marks.unionByName(texts).repartition(n, "key").sortWithinPartitions("key", "kind")
+    met = marks.unionByName(texts).repartition(n, "key").sortWithinPartitions("key", "kind", F.coalesce("doc_id", F.lit(NULL_ID)), F.xxhash64("text"))
     seen = cut(met.mapInArrow(inspect, ddl), "inspected")
     strong = seen.where(F.col("kind") == STRONG).repartition(n, "key").sortWithinPartitions("key")
     late = strong.mapInArrow(decide, ddl).unionByName(seen.where(F.col("kind") == HIT)).withColumn("kind", F.lit(-1))
     last = late.unionByName(seen.where(F.col("kind") == TEXT)).repartition(n, "key").sortWithinPartitions("key", "kind")
     ddl_out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     changed = last.mapInArrow(finish, ddl_out)
-    whole = seen.where(F.col("kind") == FINAL).select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), *(["text"] * with_text))
+    whole = seen.where(F.col("kind") == FINAL).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), *(["text"] * with_text))
     return whole.unionByName(changed)
 
 
@@ -541,7 +571,8 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row a document: (doc_id, n_words, n_removed, kept_sha256[, text]).
 
     The table is indexed in ``batches`` batches of ascending ids, as an incremental load would. Null and empty texts have no
-    words. Null ids come after all others and never remove words of each other. Rows that repeat an id never remove words
+    words. Null ids come after all others (beside an id of 2**63 - 1) and never remove words of each other. Extra columns, whatever their names, are
+    ignored. Rows that repeat an id never remove words
     of each other either, and lose the words that any row of a smaller id has. An empty table gives no row.
 
     With an index_path the index stays, and documents of earlier calls with that path count as if they were in the table;

@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
                 seq, out = seq + 1, None
 
         for batch in batches:
-            for rows_, _, _ in slices(batch, "text", 4 << 20):
+            for rows_, _, _ in slices(batch, "text", 1 << 20):
                 ids, ptr = with_end(*tk.encode(rows_.column(1).to_pylist()), end_id)
                 doc_ids = rows_.column(0).fill_null(NULL_ID).to_numpy()
                 if out is None:

@@ -19,10 +19,20 @@ def is_object(value: Column) -> Column:
     return F.coalesce(value.startswith("{"), F.lit(False))
 
 
+def _path(name: str) -> str:
+    """A name is one key, whatever characters it has; quotes can't be told in a path."""
+    if "'" in name:
+        raise ValueError(f"no field can be named {name!r}")
+    return f"$['{name}']"
+
+
 def field(value: Column, name: str) -> Column:
     """A top-level scalar as text; null where it is missing, null or nested."""
-    raw = F.get_json_object(value, f"$.{name}")
-    return F.when(raw.startswith("{") | raw.startswith("["), None).otherwise(raw)
+    raw = F.get_json_object(value, _path(name))
+    # Only what begins like a nested value is looked at twice: a string may begin so too.
+    whole = F.try_variant_get(F.try_parse_json(value), _path(name), "variant")
+    is_text = F.schema_of_variant(whole) == "STRING"
+    return F.when(raw.startswith("{") | raw.startswith("["), F.when(is_text, raw)).otherwise(raw)
 
 
 def number(x: Column) -> Column:
@@ -75,3 +85,23 @@ def percent_decoded(x: Column) -> Column:
 def object_of(value: Column, names: list[str]) -> Column:
     """A JSON object of the named fields in this order; missing fields are left out."""
     return F.to_json(F.struct(*[field(value, n).alias(n) for n in names])) if names else F.lit("{}")
+
+
+def _crc_table() -> list[int]:
+    """Remainders of all bytes by the reversed Castagnoli polynomial."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
+        table.append(n)
+    return table
+
+
+def crc32c(data: Column) -> Column:
+    """CRC-32C (Castagnoli) of bytes, unsigned; null of null. A lookup a byte, without Python."""
+    table = F.array(*[F.lit(x).cast("bigint") for x in _crc_table()])
+    hexed = F.hex(data)
+    byte_at = lambda i: F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint")
+    places = F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.array().cast("array<int>"))
+    step = lambda c, i: F.shiftrightunsigned(c, 8).bitwiseXOR(F.get(table, c.bitwiseXOR(byte_at(i)).bitwiseAND(255).cast("int")))
+    return F.when(data.isNotNull(), F.aggregate(places, F.lit(0xFFFFFFFF).cast("bigint"), step).bitwiseXOR(F.lit(0xFFFFFFFF).cast("bigint")))

@@ -69,6 +69,12 @@ def kv_state(applied: DataFrame) -> DataFrame:
     return applied.groupBy("ns", "key").agg(last).select("ns", "key", "s.*")
 
 
+def kv_meta(state: DataFrame, now_ms: int) -> DataFrame:
+    """(ns, key, cas, ttl_ms, found): of every key that was ever written; no time to live is null."""
+    gone = F.col("deleted") | F.coalesce(F.col("expires_ms") <= now_ms, F.lit(False))
+    return state.select("ns", "key", "cas", F.greatest(F.col("expires_ms") - now_ms, F.lit(0)).alias("ttl_ms"), (~gone).alias("found"))
+
+
 def kv_get(state: DataFrame, now_ms: int) -> DataFrame:
     """(ns, key, value base64, cas, ttl_ms) of the keys that are there."""
     live = state.where(~F.col("deleted") & (F.col("expires_ms").isNull() | (F.col("expires_ms") > now_ms)))
@@ -86,59 +92,85 @@ def idempotent_results(rows: DataFrame, keys: list[str], order: list[str]) -> Da
     return rows.withColumns({"answer_offset": F.first("offset").over(w), "duplicate": F.row_number().over(w) > 1})
 
 
-def upsert_totals(rows: DataFrame, keys: list[str], add: str, order: str, status: str) -> DataFrame:
-    """Upserts folded at once: sums add, the greatest order stays, the last status overwrites."""
-    return rows.groupBy(*keys).agg(F.sum(add).alias("total"), F.max(order).alias("last_seq"), F.max_by(status, order).alias("status"))
+def idempotent_batches(batches: DataFrame, producer: list[str], order: str) -> DataFrame:
+    """Batches (topic, partition, batch_key, values, ...) to messages: (producer and order columns, value, offset, duplicate).
 
+    A batch's key covers all its values. The first batch of a key and producer is appended and each later one is answered with
+    the first one's offsets. A batch without a key always counts. Batches are numbered in order within a partition.
+    """
+    keys = ["topic", "partition", *producer, "batch_key"]
+    b = batches.withColumn("duplicate", F.col("batch_key").isNotNull() & (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) > 1))
+    earlier = Window.partitionBy("topic", "partition").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(F.when(~F.col("duplicate"), F.size("values")).otherwise(0)).over(earlier), F.lit(0))
+    b = b.withColumn("_own", own).withColumn("_base", F.first(F.when(~F.col("duplicate"), F.col("_own")), True).over(Window.partitionBy(*keys).orderBy(order)))
+    base = F.when(F.col("duplicate"), F.col("_base")).otherwise(F.col("_own"))
+    b = b.select("topic", "partition", *producer, "batch_key", order, base.alias("_base"), "duplicate", F.posexplode("values").alias("_at", "value"))
+    return b.withColumn("offset", (F.col("_base") + F.col("_at")).cast("long")).drop("_base", "_at")
 
-RANKED = "payment_id string, seq long, incoming string, current string, action string, reason string, successes long"
 
+def create_topics(requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Requests (topic, partitions, seq) to topics (topic, partitions, created_seq): the first request of a topic counts, and a
+    topic that exists keeps its partitions. Requests for fewer than one partition are errors and make nothing."""
+    first = requests.where("partitions > 0").groupBy("topic").agg(F.min_by("partitions", "seq").alias("partitions"), F.min("seq").alias("created_seq"))
+    if existing is None:
+        return first
+    return existing.select("topic", "partitions", "created_seq").unionByName(first.join(existing.select("topic"), "topic", "left_anti"))
 
-def _ranked_step(state, row):
-    """State: (current state, rank, successes)."""
-    current, rank, wins = state or (None, None, 0)
-    incoming, own = row["state"], row["rank"]
-    before = current
-    if current is not None and own < rank:
-        action, reason = "IGNORED", "stale_state_transition"
-    elif current == incoming:
-        action, reason = "SUPPRESSED", "duplicate_webhook"
-    else:
-        action, reason, current, rank = "APPLIED", None, incoming, own
-        wins += incoming == "SUCCESS"
-    return (current, rank, wins), {"payment_id": row["payment_id"], "seq": row["seq"], "incoming": incoming, "current": before, "action": action, "reason": reason, "successes": wins}
+
+def upsert_totals(rows: DataFrame, keys: list[str], add: str, order: str, status: str) -> DataFrame:
+    """Upserts folded at once: sums add, the greatest order stays, the last status overwrites."""
+    return rows.groupBy(*keys).agg(F.sum(add).alias("total"), F.max(order).alias("last_seq"), F.max_by(status, order).alias("status"))
 
 
 def ranked_states(events: DataFrame) -> DataFrame:
-    """Webhooks (payment_id, seq, state, rank): lower ranks are stale, an equal state is a duplicate, others apply."""
-    return ordered_fold(events, ["payment_id"], ["seq"], _ranked_step, RANKED)
+    """Webhooks (payment_id, seq, state, rank): lower ranks are stale, an equal state is a duplicate, others apply.
+
+    (payment_id, seq, incoming, current, action, reason, successes); a state has one rank. The rank so far is a running
+    maximum, and the current state that of the last row that reached it.
+    """
+    before = Window.partitionBy("payment_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("payment_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    e = events.withColumn("_high", F.max("rank").over(before))
+    e = e.withColumn("current", F.last(F.when(F.col("_high").isNull() | (F.col("rank") >= F.col("_high")), F.col("state")), True).over(before))
+    stale = F.coalesce(F.col("rank") < F.col("_high"), F.lit(False))
+    same = F.coalesce(F.col("current") == F.col("state"), F.lit(False))
+    e = e.withColumn("action", F.when(stale, "IGNORED").when(same, "SUPPRESSED").otherwise("APPLIED"))
+    e = e.withColumn("reason", F.when(stale, "stale_state_transition").when(same, "duplicate_webhook"))
+    wins = F.count_if((F.col("action") == "APPLIED") & (F.col("state") == "SUCCESS")).over(so_far)
+    return e.select("payment_id", "seq", F.col("state").alias("incoming"), "current", "action", "reason", wins.alias("successes"))
 
 
 TERMINAL = "payment_id string, seq long, incoming string, before string, after string, decision string"
 _END = ("SUCCESS", "FAILED")
+CONFLICT = "REJECTED_TERMINAL_CONFLICT_NEW_PAYMENT_ID_REQUIRED"
 
 
-def terminal_step(state, row):
-    """State: (current state, provider event ids seen before)."""
-    current, seen = state or (None, frozenset())
-    incoming, before = row["state"], current
-    if row["provider_event_id"] in seen:
-        decision = "SUPPRESSED_DUPLICATE"
-    elif current in _END and incoming == current:
-        decision = "SUPPRESSED_DUPLICATE"
-    elif current in _END and incoming == "PROCESSING":
-        decision = "IGNORED_STALE_TRANSITION"
-    elif current in _END:
-        decision = "REJECTED_TERMINAL_CONFLICT_NEW_PAYMENT_ID_REQUIRED"
-    else:
-        decision, current = "APPLIED", incoming
-    seen = seen | {row["provider_event_id"]}
-    return (current, seen), {"payment_id": row["payment_id"], "seq": row["seq"], "incoming": incoming, "before": before, "after": current, "decision": decision}
+def terminal_step(current: str | None, incoming: str, repeated: bool) -> tuple[str | None, str]:
+    """The state after a webhook, and what was decided."""
+    if repeated or (current in _END and incoming == current):
+        return current, "SUPPRESSED_DUPLICATE"
+    if current in _END:
+        return current, "IGNORED_STALE_TRANSITION" if incoming == "PROCESSING" else CONFLICT
+    return incoming, "APPLIED"
 
 
 def terminal_states(events: DataFrame) -> DataFrame:
-    """Webhooks (payment_id, seq, state, provider_event_id): a terminal state never changes."""
-    return ordered_fold(events, ["payment_id"], ["seq"], terminal_step, TERMINAL)
+    """Webhooks (payment_id, seq, state, provider_event_id): a terminal state never changes. Columns as of TERMINAL.
+
+    An event id that the payment has had before is a repetition, whatever became of the first; null ids repeat nothing. The
+    state before a row is the first terminal one among the rows before that aren't repetitions, else the last of those.
+    """
+    nth = F.row_number().over(Window.partitionBy("payment_id", "provider_event_id").orderBy("seq"))
+    before = Window.partitionBy("payment_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    e = events.withColumn("_again", F.col("provider_event_id").isNotNull() & (nth > 1))
+    own = F.when(~F.col("_again"), F.col("state"))
+    e = e.withColumn("before", F.coalesce(F.first(F.when(own.isin(*_END), own), True).over(before), F.last(own, True).over(before)))
+    ended = F.coalesce(F.col("before").isin(*_END), F.lit(False))
+    same = F.coalesce(F.col("before") == F.col("state"), F.lit(False))
+    decision = F.when(F.col("_again") | (ended & same), "SUPPRESSED_DUPLICATE").when(ended & (F.col("state") == "PROCESSING"), "IGNORED_STALE_TRANSITION").when(ended, CONFLICT).otherwise("APPLIED")
+    e = e.withColumn("decision", decision)
+    after = F.when(F.col("decision") == "APPLIED", F.col("state")).otherwise(F.col("before"))
+    return e.select("payment_id", F.col("seq").cast("long").alias("seq"), F.col("state").alias("incoming"), "before", after.alias("after"), "decision")
 
 
 def dead_letters(attempts: DataFrame, keys: list[str], failed: str, most: int = 3) -> DataFrame:

@@ -8,10 +8,13 @@ window take no part, not even as outer rows: the watermark is the lesser of the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions import fields as J
+
 HOW = ("inner", "left", "right", "full")
 
 
@@ -52,19 +55,61 @@ def window_join(left: DataFrame, right: DataFrame, keys: list[str], spec: Window
 
 
 def skew_safe_window_join(left: DataFrame, right: DataFrame, keys: list[str], spec: WindowJoin) -> DataFrame:
-    """The inner join with time slices in the key: a hot key's rows spread over its slices, each right row copied to three."""
+    """window_join with time slices in the key: a hot key's rows spread over its slices.
+
+    Pairs are found between each left row and the right rows of its slice and the two beside it. Rows without a pair, where
+    the join keeps them, are those that no pair has: found by their row numbers, of which pairs give each once.
+    """
+    if spec.how not in HOW:
+        raise ValueError(f"unknown join {spec.how!r}; one of {HOW}")
     a, b, _ = prune(left, right, keys, spec)
     slot = lambda c: F.floor(F.col(c) / max(spec.size_ms, 1))
-    a = a.select(*[F.col(c).alias(f"left_{c}") for c in a.columns], slot("ts_ms").alias("_slot"))
-    near = F.explode(F.array(slot("ts_ms") - 1, slot("ts_ms"), slot("ts_ms") + 1))
-    b = b.select(*[F.col(c).alias(f"right_{c}") for c in b.columns], near.alias("_slot"))
-    b = b.withColumnRenamed("_slot", "_near")
+    a = a.select(*[F.col(c).alias(f"left_{c}") for c in a.columns])
+    b = b.select(*[F.col(c).alias(f"right_{c}") for c in b.columns])
+    near = F.explode(F.array(slot("right_ts_ms") - 1, slot("right_ts_ms"), slot("right_ts_ms") + 1)).alias("_near")
     met = (F.col("_slot") == F.col("_near")) & (F.abs(F.col("left_ts_ms") - F.col("right_ts_ms")) <= spec.size_ms)
     for k in keys:
         met = met & (F.col(f"left_{k}") == F.col(f"right_{k}"))
     if spec.in_order:
         met = met & (F.col("left_off") <= F.col("right_off"))
-    return a.join(b, met).drop("_slot", "_near")
+    pairs = a.withColumn("_slot", slot("left_ts_ms")).join(b.select("*", near), met).drop("_slot", "_near")
+    out = pairs
+    # A row is known by all its columns, so that copies of a row are outer or not together.
+    for side, how in ((a, "left"), (b, "right")):
+        if spec.how in (how, "full"):
+            same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in side.columns]
+            matched = pairs.select(*side.columns).distinct()
+            alone = side.alias("x").join(matched.alias("y"), reduce(lambda p, q: p & q, same), "left_anti")
+            out = out.unionByName(alone, allowMissingColumns=True)
+    return out.select(*a.columns, *b.columns)
+
+
+def messages_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], spec: WindowJoin, *, left_fields: tuple[str, ...] = (), right_fields: tuple[str, ...] = (), missing_as: str | None = None, max_rows: int | None = None) -> DataFrame:
+    """Join of two logs by fields of their JSON values: (left_off, right_off, left, right), sides as JSON objects.
+
+    left and right: (off, ts_ms, value). keys: (left field, right field), compared as text in which equal numbers agree. An
+    empty list of fields gives ``{}``. An absent side is null, or ``{}`` if missing_as says so. max_rows: that many of the
+    pairs, by left offset and within it the latest right one first, then of the left rows alone, then of the right ones.
+    """
+    if missing_as not in (None, "{}"):
+        raise ValueError(f"missing_as is None or '{{}}', not {missing_as!r}")
+    names = [f"k{i}" for i in range(len(keys))]
+    value = lambda side: side.withColumn("value", J.text(F.col("value"))).where(J.is_object(F.col("value")))
+    key = lambda name: J.canonical(J.field(F.col("value"), name))
+    a, b = value(left), value(right)
+    a = a.select("off", "ts_ms", "value", *[key(x).alias(n) for n, (x, _) in zip(names, keys, strict=True)])
+    b = b.select("off", "ts_ms", "value", *[key(y).alias(n) for n, (_, y) in zip(names, keys, strict=True)])
+    met = window_join(a, b, names, spec)
+
+    def shown(side: str, fields: tuple[str, ...]) -> Column:
+        own = F.when(F.col(f"{side}_off").isNotNull(), J.object_of(F.col(f"{side}_value"), list(fields)))
+        return F.coalesce(own, F.lit(missing_as)) if missing_as else own
+
+    out = met.select("left_off", "right_off", shown("left", left_fields).alias("left"), shown("right", right_fields).alias("right"))
+    if max_rows is not None:
+        kind = F.when(F.col("right_off").isNull(), 1).when(F.col("left_off").isNull(), 2).otherwise(0)
+        out = out.orderBy(kind, F.col("left_off"), F.when(kind == 0, -F.col("right_off")).otherwise(F.col("right_off"))).limit(max_rows)
+    return out
 
 
 def join_stats(left: DataFrame, right: DataFrame, keys: list[str], spec: WindowJoin) -> DataFrame:

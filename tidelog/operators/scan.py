@@ -64,11 +64,39 @@ def retain_bytes(log: DataFrame, size: Column, most: int) -> DataFrame:
     return log.withColumn("_held", F.sum(size).over(newest)).where(F.col("_held") <= most).drop("_held")
 
 
-def retention_settings(changes: DataFrame) -> DataFrame:
-    """The last write of each setting of each partition: changes (topic, partition, setting, value, seq)."""
+def retention_settings(changes: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """The last write of each setting of each partition: changes (topic, partition, setting, value, seq).
+
+    topics: (topic, partition, since), what there is and since which seq. A change whose topic is ``*`` is one of every
+    partition that was there then; later ones don't have it."""
+    if topics is not None:
+        every = changes.where("topic = '*'").drop(*PARTITION).crossJoin(F.broadcast(topics)).where(F.col("since") <= F.col("seq"))
+        changes = changes.where("topic <> '*'").unionByName(every.select(*changes.columns))
     return changes.groupBy(*PARTITION, "setting").agg(F.max_by("value", "seq").alias("value"))
 
 
+def sealed_gc(batches: DataFrame, *, now_ms: int, max_age_ms: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """What stays of sealed batches (topic, partition, batch_id, sealed_ms, bytes): a prefix of each partition goes. First
+    batches up to the last one that is too old, then the oldest until the rest has max_bytes at most."""
+    w = Window.partitionBy(*PARTITION)
+    kept = batches
+    if max_age_ms is not None:
+        old = F.max(F.when(F.col("sealed_ms") < now_ms - max_age_ms, F.col("batch_id"))).over(w)
+        kept = kept.withColumn("_old", old).where(F.col("_old").isNull() | (F.col("batch_id") > F.col("_old"))).drop("_old")
+    if max_bytes is not None:
+        held = F.sum("bytes").over(w.orderBy(F.desc("batch_id")).rowsBetween(Window.unboundedPreceding, 0))
+        kept = kept.withColumn("_held", held).where(F.col("_held") <= max_bytes).drop("_held")
+    return kept
+
+
+def published_prefix(log: DataFrame) -> DataFrame:
+    """What a reader sees of a log with a ``status``: messages before the partition's first ``unpublished`` one, but for those
+    that are ``deleted``. Read positions stop there, so nothing is seen out of order."""
+    first = log.where("status = 'unpublished'").groupBy(*PARTITION).agg(F.min("offset").alias("_stop"))
+    seen = log.join(first, PARTITION, "left").where(F.col("_stop").isNull() | (F.col("offset") < F.col("_stop")))
+    return seen.where(F.coalesce(F.col("status") != "deleted", F.lit(True))).drop("_stop")
+
+
 def offset_gaps(log: DataFrame) -> DataFrame:
     """(topic, partition, messages, gaps): gaps counts messages that aren't where a gap-free log has them."""
     w = Window.partitionBy(*PARTITION).orderBy("offset")

@@ -11,6 +11,7 @@ from tidelog.functions import fields as J
 from tidelog.operators import fold, join, query, scan
 from tidelog.plans import receipts
 from tidelog.sources.log import append, choose_partition, events_log, ndjson
+from tidelog.sources.stored import stored_once
 from tidelog.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,23 +39,26 @@ def register(sql: str | None):
 # --- scans, offsets, retention ---
 
 
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The events' log on storage, written once an application: reads prune to their topic, partition and offsets."""
+    return stored_once(events_log(spark, d).drop("offset"), "events-log", d, ["ts", "event_id"])
+
+
 @register(f"WITH {LOG} SELECT topic, part, off, event_id FROM log WHERE topic = 'click' AND part = 1 AND off >= 10 AND off < 60")
 def log_scan_range(spark, d):
-    page = scan.consume(events_log(spark, d), "click", 1, offset=10, limit=50)
+    page = scan.consume(_stored(spark, d), "click", 1, offset=10, limit=50)
     return page.select("topic", F.col("partition").alias("part"), F.col("offset").alias("off"), "event_id")
 
 
 @register(f"WITH {LOG} SELECT part, off, ts_ms FROM log WHERE topic = 'view' AND part = 2 AND off BETWEEN 8 AND 27")
 def log_resume_from_commit(spark, d):
-    log = events_log(spark, d)
-    page = scan.consume(log, "view", 2, committed=7, limit=20)
+    page = scan.consume(_stored(spark, d), "view", 2, committed=7, limit=20)
     return page.select(F.col("partition").alias("part"), F.col("offset").alias("off"), F.unix_millis("ts").alias("ts_ms"))
 
 
-@register(f"WITH {LOG} SELECT part, off, encode_key FROM (SELECT part, off, to_base64(CAST(CAST(user_id AS VARCHAR) AS BLOB)) AS encode_key FROM log WHERE topic = 'error' AND off < 5)")
+@register(f"WITH {LOG} SELECT topic, part, off, to_base64(CAST(CAST(user_id AS VARCHAR) AS BLOB)) AS encode_key FROM log")
 def log_base64(spark, d):
-    log = events_log(spark, d).where("topic = 'error' AND offset < 5")
-    return log.select(F.col("partition").alias("part"), F.col("offset").alias("off"), F.base64("key").alias("encode_key"))
+    return _stored(spark, d).select("topic", F.col("partition").alias("part"), F.col("offset").alias("off"), F.base64("key").alias("encode_key"))
 
 
 @register(f"WITH {LOG}, c AS (SELECT topic, user_id % 3 AS grp, part, max(off) // 2 AS committed FROM log GROUP BY ALL) SELECT c.topic, CAST(c.grp AS VARCHAR) AS grp, c.part, count(*) AS n_unread, min(log.off) AS next_off FROM log JOIN c ON log.topic = c.topic AND log.part = c.part WHERE log.off > c.committed GROUP BY ALL")
@@ -340,18 +344,35 @@ def session_count(spark, d):
 
 # --- state machines and repair ---
 
-_STATES = "WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILED' ELSE 'PROCESSING' END AS state FROM events), t AS (SELECT *, arg_min(state, CASE WHEN state <> 'PROCESSING' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS terminal FROM s)"
+#: Every fifth event repeats the provider's id of the user's event before, and every seventh has none.
+_STATES = """WITH e AS (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events),
+s AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILED' ELSE 'PROCESSING' END AS state,
+  CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 AND prev IS NOT NULL THEN prev ELSE event_id END AS pid FROM e),
+r AS (SELECT *, pid IS NOT NULL AND EXISTS (SELECT 1 FROM s b WHERE b.user_id = s.user_id AND b.pid = s.pid AND b.event_id < s.event_id) AS again FROM s),
+t AS (SELECT *, arg_min(state, CASE WHEN state <> 'PROCESSING' AND NOT again THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS terminal FROM r)"""
 
 
 def _payments(spark, d):
     e = table(spark, d, "events")
     state = F.when(F.col("event_type") == "purchase", "SUCCESS").when(F.col("event_type") == "error", "FAILED").otherwise("PROCESSING")
-    return e.select(F.col("user_id").cast("string").alias("payment_id"), F.col("event_id").alias("seq"), state.alias("state"), F.col("event_id").cast("string").alias("provider_event_id"), F.when(F.col("event_type").isin("purchase", "error"), 2).otherwise(1).alias("rank"))
+    rank = F.when(F.col("event_type").isin("purchase", "error"), 2).otherwise(1)
+    prev = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    again = (F.col("event_id") % 5 == 0) & prev.isNotNull()
+    pid = F.when(F.col("event_id") % 7 != 0, F.when(again, prev).otherwise(F.col("event_id"))).cast("string")
+    return e.select(F.col("user_id").cast("string").alias("payment_id"), F.col("event_id").alias("seq"), state.alias("state"), pid.alias("provider_event_id"), rank.alias("rank"))
+
 
+_DECISION = """CASE WHEN again OR terminal = state THEN 'SUPPRESSED_DUPLICATE' WHEN terminal IS NULL THEN 'APPLIED'
+  WHEN state = 'PROCESSING' THEN 'IGNORED_STALE_TRANSITION' ELSE 'REJECTED_TERMINAL_CONFLICT_NEW_PAYMENT_ID_REQUIRED' END"""
 
-@register(_STATES + " SELECT CASE WHEN terminal IS NULL THEN 'APPLIED' WHEN terminal = state THEN 'SUPPRESSED_DUPLICATE' WHEN state = 'PROCESSING' THEN 'IGNORED_STALE_TRANSITION' ELSE 'REJECTED_TERMINAL_CONFLICT_NEW_PAYMENT_ID_REQUIRED' END AS decision, count(*) AS n, min(event_id) AS first_seq FROM t GROUP BY 1")
+
+@register(f"{_STATES} SELECT {_DECISION} AS decision, count(*) AS n, min(event_id) AS first_seq, count(*) FILTER (again) AS repeated FROM t GROUP BY 1")
 def state_machine_terminal(spark, d):
-    return fold.terminal_states(_payments(spark, d)).groupBy("decision").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    payments = _payments(spark, d)
+    nth = F.row_number().over(Window.partitionBy("payment_id", "provider_event_id").orderBy("seq"))
+    told = payments.select("payment_id", "seq", (F.col("provider_event_id").isNotNull() & (nth > 1)).alias("again"))
+    decided = fold.terminal_states(payments).join(told, ["payment_id", "seq"])
+    return decided.groupBy("decision").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.count_if("again").alias("repeated"))
 
 
 @register("WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILED' ELSE 'PROCESSING' END AS state FROM events), t AS (SELECT *, arg_max(state, CASE WHEN state <> 'PROCESSING' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM s) SELECT CASE WHEN state = 'PROCESSING' AND top IS NOT NULL THEN 'IGNORED' WHEN coalesce(top, CASE WHEN seen > 0 THEN 'PROCESSING' END) = state THEN 'SUPPRESSED' ELSE 'APPLIED' END AS action, count(*) AS n FROM t GROUP BY 1")
@@ -385,14 +406,6 @@ def receipt_reconcile(spark, d):
     return status.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@register("SELECT * FROM (VALUES ('P1', 'nobody is charged twice', 'FAIL', 'RED'), ('P2', 'a key stands for one payment', 'FAIL', 'RED'), ('P3', 'provider''s commitment is known', 'FAIL', 'RED'), ('P4', 'no final customer state on unknown commitment', 'PASS', 'RED'), ('P5', 'no blind retry after a timeout', 'PASS', 'RED')) t(rule_id, rule_name, status, verdict)")
-def receipt_provider_timeout(spark, d):
-    e = table(spark, d, "events")
-    p = e.select(F.col("event_id").cast("string").alias("attempt_id"), F.col("user_id").alias("idempotency_key"), F.when(F.col("event_type") == "purchase", "SUCCESS_CONFIRMED").when(F.col("event_type") == "error", "AMBIGUOUS").otherwise("SUPPRESSED_DUPLICATE").alias("internal_state"), F.lit("PENDING").alias("customer_state"), F.lit("none").alias("ambiguity_reason"), F.lit(None).cast("string").alias("provider_transaction_id"))
-    calls = p.select("attempt_id", F.lit("CHARGE").alias("request_type"), F.concat(F.lit("call_"), "attempt_id", F.lit("_charge")).alias("call_id"))
-    return receipts.provider_timeout(p, calls)
-
-
 @register("WITH f AS (SELECT (SELECT count(*) FROM documents) - (SELECT count(*) FROM labels) AS missing, (SELECT count(*) FROM documents WHERE text = '') AS invalid) SELECT id AS rule_id, name AS rule_name, CASE WHEN id = 'D1' THEN CASE WHEN missing = 0 THEN 'PASS' ELSE 'WARN' END ELSE CASE WHEN invalid = 0 THEN 'PASS' ELSE 'FAIL' END END AS status, CASE WHEN missing > 0 OR invalid > 0 THEN 'WARN' ELSE 'GREEN' END AS verdict FROM f, (VALUES ('D1', 'rows in equal rows out'), ('D2', 'required fields are valid')) t(id, name)")
 def receipt_pipeline_audit(spark, d):
     docs = table(spark, d, "documents").agg(F.count("*").alias("n"), _if("text = ''").alias("invalid_rows"))
@@ -412,10 +425,19 @@ def cache_reconcile(spark, d):
     return receipts.cache_reconciliation(c)
 
 
-@register("SELECT url, replace(replace(url, '%20', ' '), '+', ' ') AS decoded, to_base64(CAST(url AS BLOB)) AS b64, upper(coalesce(nullif(split_part(url, '/', 4), ''), 'none')) AS part FROM pages WHERE url NOT LIKE '%\\%%' ESCAPE '\\'")
+@register("""WITH p AS (SELECT url, replace(replace(url, ':', '%3A'), '/', '%2f') || '?q=caf%C3%A9+%25' AS escaped FROM pages)
+SELECT url, escaped, url || '?q=café %' AS decoded, to_base64(CAST(url AS BLOB)) AS b64,
+  upper(coalesce(nullif(split_part(url, '/', 4), ''), 'none')) AS part
+FROM p WHERE instr(url, '%') = 0 AND instr(url, '+') = 0
+UNION ALL
+SELECT url, escaped, url_decode(replace(escaped, '+', ' ')), to_base64(CAST(url AS BLOB)), upper(coalesce(nullif(split_part(url, '/', 4), ''), 'none'))
+FROM p WHERE NOT (instr(url, '%') = 0 AND instr(url, '+') = 0)""")
 def scalar_functions(spark, d):
-    p = table(spark, d, "pages").where(~F.col("url").contains("%"))
-    return p.select("url", J.percent_decoded(F.col("url")).alias("decoded"), F.base64(F.col("url").cast("binary")).alias("b64"), F.upper(F.coalesce(F.nullif(F.split_part("url", F.lit("/"), F.lit(4)), F.lit("")), F.lit("none"))).alias("part"))
+    url = F.col("url")
+    escaped = F.concat(F.replace(F.replace(url, F.lit(":"), F.lit("%3A")), F.lit("/"), F.lit("%2f")), F.lit("?q=caf%C3%A9+%25"))
+    p = table(spark, d, "pages").select("url", escaped.alias("escaped"))
+    part = F.upper(F.coalesce(F.nullif(F.split_part("url", F.lit("/"), F.lit(4)), F.lit("")), F.lit("none")))
+    return p.select("url", "escaped", J.percent_decoded(F.col("escaped")).alias("decoded"), F.base64(url.cast("binary")).alias("b64"), part.alias("part"))
 
 
 @register("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE 'fraction' END AS canon FROM events")

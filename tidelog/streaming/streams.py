@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,36 +43,62 @@ def first_seen(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def exactly_once_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], before_write: Callable[[DataFrame, int], DataFrame] | None = None) -> StreamingQuery:
-    """Append rows whose keys the target doesn't hold yet. A batch that is replayed finds its rows there and adds none."""
+def exactly_once_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], before_write: Callable[[DataFrame, int], DataFrame] | None = None, within: str | None = None) -> StreamingQuery:
+    """Append rows whose keys the target doesn't hold yet. A batch that is replayed finds its rows there and adds none.
+
+    within: a column whose value all rows of a key share, such as the day of the event. The target is then partitioned by it,
+    and only the partitions of a batch's values are read, so a batch costs as much however long the target is.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = before_write(batch, batch_id) if before_write else batch
         rows = rows.dropDuplicates(keys)
         try:
-            held = batch.sparkSession.read.parquet(path).select(*keys)
+            held = batch.sparkSession.read.schema(rows.schema).parquet(path)
         except Exception as error:  # the first batch has no target yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
         else:
-            rows = rows.join(held, keys, "left_anti")
-        rows.write.mode("append").parquet(path)
+            if within:
+                held = held.where(F.col(within).isin([r[0] for r in rows.select(within).distinct().collect()]))  # values of one batch
+            rows = rows.join(held.select(*keys), keys, "left_anti")
+        writer = rows.write.mode("append")
+        (writer.partitionBy(within) if within else writer).parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def terminal_states_stream(stream: DataFrame) -> DataFrame:
-    """The terminal-state machine with its state in the state store: (payment_id, seq, state, provider_event_id)."""
+def terminal_states_stream(stream: DataFrame, forget: str | None = None) -> DataFrame:
+    """The terminal-state machine with its state in the state store: (payment_id, seq, state, provider_event_id[, ts]).
+
+    forget: with a column ts, a payment's state goes when the watermark is that much past its last webhook; repetitions that
+    come later still are new. Without it states stay.
+    """
+    millis = int(pd.Timedelta(forget).total_seconds() * 1000) if forget else 0
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        current, seen = held.get if held.exists else (None, "")
-        state = (current, frozenset(seen.split("\x1f")) if seen else frozenset())
-        rows = pd.concat(list(batches)).sort_values("seq").to_dict("records")
+        if held.hasTimedOut:
+            held.remove()
+            return
+        current, ids = held.get if held.exists else (None, "[]")
+        seen = set(json.loads(ids))
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable").to_dict("records")
         out = []
         for row in rows:
-            state, result = terminal_step(state if state != (None, frozenset()) else None, row)
-            out.append(result)
-        held.update((state[0], "\x1f".join(sorted(state[1]))))
+            name = row["provider_event_id"]
+            name = None if pd.isna(name) else name
+            before = current
+            current, decision = terminal_step(before, row["state"], name is not None and name in seen)
+            if name is not None:
+                seen.add(name)
+            out.append((row["payment_id"], row["seq"], row["state"], before, current, decision))
+        held.update((current, json.dumps(sorted(seen))))
+        if forget:
+            last = max(int(row["ts"].timestamp() * 1000) for row in rows)
+            held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + millis)
         yield pd.DataFrame(out, columns=[x.split()[0] for x in TERMINAL.split(", ")])
 
-    return stream.groupBy("payment_id").applyInPandasWithState(step, TERMINAL, "current string, seen string", "append", GroupStateTimeout.NoTimeout)
+    if forget:
+        stream = stream.withWatermark("ts", forget)
+    timeout = GroupStateTimeout.EventTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return stream.groupBy("payment_id").applyInPandasWithState(step, TERMINAL, "current string, seen string", "append", timeout)

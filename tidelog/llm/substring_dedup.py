@@ -7,8 +7,8 @@ The index is a directory of immutable runs. A run holds, for every hash bucket,
 the document that has it, or MANY. A batch of documents is fingerprinted where it lies and aggregated per chunk of text;
 each bucket's task sorts the new entries, merge-joins them with that bucket's files of all earlier runs, and writes the
 batch's own run. Documents that share a fingerprint are candidates. Their windows with shared fingerprints, and no others,
-are then verified by 128-bit hashes of all words' bytes; a window whose words also start in a document with a smaller id
-is removed. Runs are merged when there are more than ``fan_in``.
+are then verified by two independent hashes of all words' bytes, 96 bits in all; a window whose words also start in a
+document with a smaller id is removed. Runs are merged when there are more than ``fan_in``.
 
 Each addition ends with a new manifest, which names the runs that make up the index, so a later session goes on where the
 last one stopped. An index that outlives the call also keeps, for every window, its two hashes and the least document that
@@ -67,8 +67,9 @@ class _Windows:
             np.minimum(self.print, grams[at + j], out=self.print)
 
     def strong(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a = self.words.windows(self.window, self.h, 0)[0][which]
-        return self.words.windows(self.window, self.words.hashes(1), 1)[0][which], a
+        """Hashes of 64 and of 32 bits, each from a lane of its own."""
+        weak = self.words.windows(self.window, self.h, 0)[0][which] >> np.uint64(32)
+        return self.words.windows(self.window, self.words.hashes(1), 1)[0][which], weak.astype(np.uint32)
 
 
 def _digest(words: Words, keep: np.ndarray | None = None) -> list[str]:
@@ -139,12 +140,12 @@ def _least(strong: np.ndarray, weak: np.ndarray, own: np.ndarray) -> tuple[np.nd
 
 def _pack_windows(strong: np.ndarray, weak: np.ndarray, own: np.ndarray, *more: np.ndarray) -> bytes:
     """Windows by both hashes (strong: sorted), and whatever integers belong to them."""
-    return _zip(pack_sorted(strong), weak.astype("<u8").tobytes(), *map(pack_ints, (own, *more)))
+    return _zip(pack_sorted(strong), weak.astype("<u4").tobytes(), *map(pack_ints, (own, *more)))
 
 
 def _unpack_windows(data: bytes) -> tuple[np.ndarray, ...]:
     strong, weak, *more = _unzip(data)
-    return unpack_sorted(strong), np.frombuffer(weak, "<u8"), *map(unpack_ints, more)
+    return unpack_sorted(strong), np.frombuffer(weak, "<u4"), *map(unpack_ints, more)
 
 
 def _write_windows(path: str, strong: np.ndarray, weak: np.ndarray, own: np.ndarray) -> None:
@@ -318,7 +319,7 @@ class FingerprintIndex:
 
             def close() -> None:
                 if key is not None:
-                    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
                     _write_windows(named(new, key), *_least(*(np.concatenate(x) for x in zip(none, *gathered, strict=True))))
                     gathered.clear()
 

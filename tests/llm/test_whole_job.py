@@ -1,7 +1,5 @@
 """Cases in which an operator once did less than its whole job."""
 
-import hashlib
-import math
 import random
 import re
 import time
@@ -10,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from brute import classes_by_all_pairs, leaks_by_scoring_everything, removed_by_windows
 
 from tidelog.llm import decontaminate, html_text, near_dup, toxicity
 from tidelog.llm.near_dup import near_duplicates
@@ -129,50 +128,6 @@ def test_pages_with_nulls_clashing_columns_repeated_rows_and_none(spark):
     assert html_text.extract_pages(p.where("page_id = 9")).count() == 0
 
 
-def _plain(text):
-    return re.findall(r"[^\s!-/:-@\[-`{-~]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), text or ""))
-
-
-def _leaks_by_scoring_everything(docs, items, share=0.5, overlap=0.5):
-    """Contamination without an index: every passage against every item."""
-    parsed = []
-    for i, text in items:
-        words = _plain(text)
-        ends = [m.end() for m in re.finditer(r"[.!?\n]+\s*(?=\S)", text or "")]
-        cut = len(_plain(text[: ends[-1]])) if ends else 0
-        if words:
-            parsed.append((i, words, cut if 0 < cut < len(words) else max(1, len(words) * 2 // 3)))
-    n, mean = len(parsed), sum(len(w) for _, w, _ in parsed) / max(len(parsed), 1)
-    df = Counter(t for _, w, _ in parsed for t in set(w))
-
-    def score(item, present):
-        return sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(item) / mean)) for t, f in Counter(item).items() if t in present)
-
-    def share_of(part, passage):
-        k = min(3, len(part))
-        runs, have = ({tuple(x[j : j + k]) for j in range(len(x) - k + 1)} for x in (part, passage))
-        return len(runs & have) / len(runs)
-
-    out = Counter()
-    for d, text in docs:
-        words = _plain(text)
-        for i, item, cut in parsed:
-            size = 32
-            while size < len(item):
-                size *= 2
-            best = None
-            for lo in range(0, max(len(words) - size, 1), size):
-                passage = words[lo : lo + 2 * size]
-                s = score(item, set(passage))
-                if passage and s >= share * score(item, set(item)) - 1e-9:
-                    q, a = share_of(item[:cut], passage), share_of(item[cut:] or item[:cut], passage)
-                    if min(q, a) >= overlap and (best is None or s > best):
-                        best = s
-            if best is not None:
-                out[d, i, round(best, 4)] += 1
-    return out
-
-
 @pytest.mark.parametrize("index_bytes", [1 << 20, 700])
 def test_contamination_equals_scoring_everything(spark, index_bytes):
     rng = random.Random(9)
@@ -185,7 +140,7 @@ def test_contamination_equals_scoring_everything(spark, index_bytes):
     d = spark.createDataFrame(docs, SCHEMA).selectExpr("doc_id", "text", "1 AS TEXT2", "'x' AS item_id")
     found = decontaminate.contamination(d, spark.createDataFrame(items, "item_id long, text string"), index_bytes=index_bytes)
     got = Counter((r.doc_id, r.item_id, round(r.score, 4)) for r in found.collect())
-    assert got == _leaks_by_scoring_everything(docs, items) and sum(got.values()) > 30
+    assert got == leaks_by_scoring_everything(docs, items) and sum(got.values()) > 30
     kept = decontaminate.drop_contaminated(d, spark.createDataFrame(items, "item_id long, text string"), index_bytes=index_bytes)
     gone = {i for i, *_ in got}
     assert kept.columns == d.columns and Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in docs if i not in gone)
@@ -242,39 +197,6 @@ def test_toxicity_of_nulls_repeats_clashes_and_none(spark):
     assert kept.columns == d.columns and sorted(r[0] for r in kept.collect() if r[0] is not None) == [i for i, _, _, p in want if not p and i >= 0]
 
 
-def _classes_by_all_pairs(rows, k=5, threshold=0.8):
-    """{(id, text): (class, links)} and the number of links between different sets."""
-    sets = {}
-    for i, text in rows:
-        w = (text or "").split()
-        if w and i is not None:
-            sets.setdefault(frozenset(tuple(w[j : j + k]) for j in range(max(len(w) - k + 1, 1))), []).append((i, text))
-    keys = list(sets)
-    parent = list(range(len(keys)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    links, pairs = [len(sets[s]) - 1 for s in keys], 0
-    where = {}
-    for x, s in enumerate(keys):
-        for y in {y for g in s for y in where.get(g, ())}:
-            if len(s & keys[y]) >= threshold * len(s | keys[y]) - 1e-9:
-                links[x] += len(sets[keys[y]])
-                links[y] += len(sets[s])
-                pairs += 1
-                a, b = root(x), root(y)
-                parent[a] = b
-        for g in s:
-            where.setdefault(g, []).append(x)
-    least = {}
-    for x, s in enumerate(keys):
-        least[root(x)] = min(least.get(root(x), 1 << 62), *(i for i, _ in sets[s]))
-    return {d: (least[root(x)], links[x]) for x, s in enumerate(keys) for d in sets[s]}, pairs
-
-
 def test_near_duplicates_equal_all_pairs(spark):
     rng = random.Random(12)
     rows, word = [], lambda: f"v{rng.randrange(10**6)}"
@@ -290,7 +212,7 @@ def test_near_duplicates_equal_all_pairs(spark):
     base = [word() for _ in range(300)]
     rows += [(10**10 + i, " ".join([*base[: 260 + i % 41], f"x{i % 90}"])) for i in range(400)]  # one large class
     rows += [rows[3], (rows[5][0], rows[9][1]), (None, rows[2][1]), (7, None), (8, ""), (9, "word " * 400_000)]
-    want, pairs = _classes_by_all_pairs(rows)
+    want, pairs = classes_by_all_pairs(rows)
     spark.conf.set("spark.sql.shuffle.partitions", 7)
     d = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "1 AS sid", "'x' AS TEXT").repartition(5)
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in near_duplicates(d, block=64).collect())
@@ -333,23 +255,6 @@ def test_recall_that_cannot_be_reached_is_an_error(spark):
         near_duplicates(spark.createDataFrame([(1, "a b c d e f g h")], SCHEMA), trees=2, least_depth=3)
 
 
-def _removed_by_windows(rows, size=13):
-    """Words removed from each row, by comparing all windows."""
-    least = {}
-    for i, text in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        for j in range(len(w) - size + 1):
-            k = tuple(w[j : j + size])
-            least[k] = min(least.get(k, 1 << 63), 1 << 63 if i is None else i)
-    out = []
-    for i, text in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        gone = {j + s for j in range(len(w) - size + 1) if least[tuple(w[j : j + size])] < (1 << 63 if i is None else i) for s in range(size)}
-        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
-        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
-    return out
-
-
 def test_substrings_equal_all_windows(spark):
     rng = random.Random(1)
     word = lambda: rng.choice(["a", "b", "héé", "x\x1cy"] + [f"w{rng.randrange(10**5)}"] * 3)
@@ -363,5 +268,5 @@ def test_substrings_equal_all_windows(spark):
     d = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "1 AS key", "'x' AS TEXT").repartition(3)
     got = substring_dedup(d, with_text=True).collect()
     key = lambda r: (str(r[0]), *r[1:])
-    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=key) == sorted((r[:4] for r in _removed_by_windows(rows)), key=key)
-    assert Counter(" ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in got) == Counter(r[4] for r in _removed_by_windows(rows))
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=key) == sorted((r[:4] for r in removed_by_windows(rows)), key=key)
+    assert Counter(" ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in got) == Counter(r[4] for r in removed_by_windows(rows))

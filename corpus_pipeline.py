@@ -20,31 +20,45 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier, trained on these documents' labels, doesn't reject."""
+    """Documents that the toxicity classifier, trained on these documents' labels, doesn't reject.
+
+    A null or empty text is scored as an empty one and a null id as any other; rows that repeat stay or go alike. No rows, or
+    no labels of both kinds, reject nothing."""
     return reject_toxic(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines. One that had lines and has none left is a copy and goes; n_chars follows text."""
+    """Documents without their repeated lines. One that had lines and has none left is a copy and goes; n_chars follows text.
+
+    Null and empty texts stay as they are. Null ids come after all others. Rows that repeat an id and a text are treated
+    alike. No rows give none."""
     left = line_dedup(docs).where("n_removed = 0 OR n_removed < n_lines")
-    changed = {"n_chars": F.when(F.col("n_removed") > 0, F.char_length("row.text").cast("long")).otherwise(F.col("row.n_chars"))}
+    size = F.char_length("row.text").cast("long")
+    changed = {"n_chars": F.when(F.col("n_removed") > 0, size).otherwise(F.col("row.n_chars"))}
     return left.select(*[changed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the least id; of rows that repeat id and text, one."""
+    """One document of each class of near duplicates, the one with the least id; of rows that repeat id and text, one.
+
+    Rows with a null id take no part and all stay. Null and empty texts are like nothing else and stay. Where an id that stays
+    comes with several texts, each of them stays. No rows give none."""
     stay = near_duplicates(docs).where("class_id = doc_id").select("doc_id").distinct()
     known = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text"))
     return known.dropDuplicates(["doc_id", "_h"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item leaks."""
+    """Documents in which no benchmark item leaks.
+
+    Null and empty texts hold no item and stay; null ids and rows that repeat are judged by their text. No rows give none."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
+    """Pieces of the documents in sequences of 1024 tokens.
+
+    Null and empty texts are a piece of the end id; null ids and rows that repeat are packed each. No rows give none."""
     return pack_documents(docs)
 
 
@@ -56,7 +70,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the trained classifier nor the tokenizer; the stages are tested against brute force instead.
+#: SQL can express neither the trained classifier nor the tokenizer; tests/llm/test_pipeline.py holds every stage against plain
+#: Python instead.
 ORACLE_SQL = None
 
 

@@ -26,6 +26,7 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
     """(node, component) of all nodes of edges (a long, b long); component is the least node. Each round is written out."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     e = cut(e, "edges")
+    files = max(4, e.count() // 10_000)  # rounds have about as many edges
     mark = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))  # hi: a node, lo: a neighbour
@@ -34,7 +35,7 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = with_group_value(large, "hi", "lo", "m", F.min("lo"), F.min)
         small = small.where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(low.select("hi", F.col("m").alias("lo")))
-        e = cut(small.distinct(), "edges")
+        e = cut(small.distinct(), "edges", files)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == mark:
             break

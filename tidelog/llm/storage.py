@@ -29,11 +29,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that a lost executor costs no recomputation of its past."""
+def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that a lost executor costs no recomputation of its past.
+
+    files: how many files a table of known, small size takes at most."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import fields as J
 from tidelog.operators import fold, scan
-from tidelog.plans import receipts, registry
+from tidelog.plans import catalog, receipts
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,14 +21,14 @@ def rows(names, data):
     return sorted(tuple(number(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_equals_sql(spark, name):
-    got = registry.QUERIES[name](spark, SF)
+    got = catalog.QUERIES[name](spark, SF)
     db = duckdb.connect()
     db.execute("SET timezone = 'UTC'")
     for f in glob.glob(f"{SF}/*.parquet"):
         db.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    want = db.execute(registry.ORACLE[name])
+    want = db.execute(catalog.ORACLE[name])
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall())

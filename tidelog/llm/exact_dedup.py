@@ -31,8 +31,11 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row a document: (doc_id, keep_id, group_size, kept, text_sha256).
 
     Texts are equal when they are without the characters of SPACES; null counts as empty. The longest original text of a
-    group stays, of these the one with the smallest id, null ids last. Rows that repeat the id and length of the one that
-    stays count in group_size and are kept with it. An empty table gives no row.
+    group stays, of these the one with the smallest id, null ids last; of rows that repeat its id and length, one. Extra
+    columns, whatever their names, are ignored. An empty table gives no row.
+
+    More than max_heavy digests can be frequent. The rest of them are shuffled, each to one task; as all max_heavy others are
+    more frequent, that is a share of the rows of less than one in max_heavy.
     """
     spark = docs.sparkSession
     keyed = cut(text_digests(docs, id_col, text_col), "digests")
@@ -47,6 +50,12 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     whole = Window.partitionBy("text_sha256")
     light = split.where(F.col("group_size").isNull()).select("doc_id", "n_chars", "text_sha256")
     light = light.withColumns({"best": _best().over(whole), "group_size": F.count("*").over(whole)})
-    columns = ["doc_id", "n_chars", "text_sha256", "best", "group_size"]
-    keep = F.col("best.doc_id")
-    return heavy.select(columns).unionByName(light.select(columns)).select("doc_id", keep.alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(keep) & (-F.col("best.col1") == F.col("n_chars"))).alias("kept"), "text_sha256")
+    columns = ["doc_id", "n_chars", "text_sha256", "group_size"]
+    keep, stays = F.col("best.doc_id"), F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (-F.col("best.col1") == F.col("n_chars"))
+    nth = F.row_number().over(whole.orderBy(F.desc("n_chars"), F.col("doc_id").asc_nulls_last()))
+    light = light.select(*columns, keep.alias("keep_id"), (nth == 1).alias("kept"))
+    # Rows that could stay are few, one a digest but for repetitions: of these the first does.
+    least = heavy.where(stays).groupBy(*columns, keep.alias("keep_id")).agg(F.count("*").alias("_n"))
+    first = least.select(*columns, "keep_id", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_i")).withColumn("kept", F.col("_i") == 1).drop("_i")
+    rest = heavy.where(~stays).select(*columns, keep.alias("keep_id"), F.lit(False).alias("kept"))
+    return rest.unionByName(first).unionByName(light).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

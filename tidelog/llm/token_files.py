@@ -5,10 +5,10 @@ A file is a header, packed blocks and a footer, all little-endian::
     header   magic 8 bytes, bits u32, ids per block u32, vocabulary u32, zero u32
     blocks   ids at ``bits`` bits each, lowest bit first; every block but the last has the header's number of ids
     footer   block offsets u64 x (blocks + 1), document ids i64 x documents, document starts u64 x (documents + 1)
-    trailer  ids u64, blocks u64, documents u64, magic 8 bytes
+    trailer  ids u64, blocks u64, documents u64, documents without an id u64, magic 8 bytes
 
 Blocks begin at byte borders, so any range of ids is read by seeking to its first block and unpacking with numpy.
-``bits`` is the least width that holds the vocabulary. A null document id is stored as the smallest i64.
+``bits`` is the least width that holds the vocabulary. Documents without an id come first; the smallest i64 stands for theirs.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from tidelog.llm.words import slices
 
 MAGIC = b"TIDETOK1"
 NULL_ID = -(1 << 63)
-_HEAD, _TAIL = struct.Struct("<8sIIII"), struct.Struct("<QQQ8s")
+_HEAD, _TAIL = struct.Struct("<8sIIII"), struct.Struct("<QQQQ8s")
 
 
 def width(vocab_size: int) -> int:
@@ -55,7 +55,7 @@ class TokenFileWriter:
     def __init__(self, path: str, vocab_size: int, block_ids: int = 4096):
         self.file, self.path, self.bits, self.block = AtomicFile(path), path, width(vocab_size), block_ids
         self.file.write(_HEAD.pack(MAGIC, self.bits, block_ids, vocab_size, 0))
-        self.offsets, self.ids, self.starts, self.n = [_HEAD.size], [], [np.zeros(1, np.int64)], 0
+        self.offsets, self.ids, self.starts, self.n, self.nulls = [_HEAD.size], [], [np.zeros(1, np.int64)], 0, 0
         self.rest = np.zeros(0, np.uint32)
 
     def _blocks(self, ids: np.ndarray) -> None:
@@ -64,9 +64,10 @@ class TokenFileWriter:
             self.file.write(data)
             self.offsets.append(self.offsets[-1] + len(data))
 
-    def add(self, doc_ids: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
-        """Documents in order; ends: of each document within ids."""
+    def add(self, doc_ids: np.ndarray, ids: np.ndarray, ends: np.ndarray, nulls: int = 0) -> None:
+        """Documents in order, the first ``nulls`` without an id; ends: of each document within ids."""
         self.ids.append(doc_ids)
+        self.nulls += nulls
         self.starts.append(ends + self.n)
         self.n += len(ids)
         ids = np.concatenate([self.rest, ids])
@@ -80,7 +81,7 @@ class TokenFileWriter:
         self.file.write(np.array(self.offsets, "<u8").tobytes())
         self.file.write(doc_ids.astype("<i8").tobytes())
         self.file.write(np.concatenate(self.starts).astype("<u8").tobytes())
-        self.file.write(_TAIL.pack(self.n, len(self.offsets) - 1, len(doc_ids), MAGIC))
+        self.file.write(_TAIL.pack(self.n, len(self.offsets) - 1, len(doc_ids), self.nulls, MAGIC))
         self.file.close()
         return len(doc_ids), self.n
 
@@ -93,7 +94,7 @@ class TokenFile:
         self.file = where.open_input_file(inner)
         size = self.file.size()
         magic, self.bits, self.block, self.vocab_size, _ = _HEAD.unpack(self.file.read_at(_HEAD.size, 0))
-        self.n, blocks, docs, end = _TAIL.unpack(self.file.read_at(_TAIL.size, size - _TAIL.size))
+        self.n, blocks, docs, self.nulls, end = _TAIL.unpack(self.file.read_at(_TAIL.size, size - _TAIL.size))
         if magic != MAGIC or end != MAGIC:
             raise ValueError(f"{path} isn't a whole token file")
         foot = 8 * (blocks + 1 + docs + docs + 1)
@@ -152,7 +153,7 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
                 doc_ids = rows_.column(0).fill_null(NULL_ID).to_numpy()
                 if out is None:
                     out = TokenFileWriter(f"{path}/part-{part:06d}-{seq:04d}.tok", tk.vocab_size, block_ids)
-                out.add(doc_ids, ids, ptr[1:])
+                out.add(doc_ids, ids, ptr[1:], rows_.column(0).null_count)
                 if out.n >= file_ids:
                     close()
         close()
@@ -180,7 +181,7 @@ def read_token_files(manifest: DataFrame, *, batch_ids: int = 1 << 20) -> DataFr
                     data = memoryview(f.read(int(f.starts[i]), int(f.starts[j])).astype("<u4").tobytes())
                     crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                     doc = f.doc_ids[i:j]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NULL_ID), pa.array(f.starts[i:j] + row["start"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, mask=np.arange(i, j) < f.nulls), pa.array(f.starts[i:j] + row["start"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                     i = j
                 f.close()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPERATORS = ("eq", "ne", "gt", "ge", "lt", "le")
@@ -26,15 +26,27 @@ def _path(name: str) -> str:
     return f"$['{name}']"
 
 
-def field(value: Column, name: str) -> Column:
-    """A top-level scalar as text; null where it is missing, null or nested."""
-    raw = F.get_json_object(value, _path(name))
-    # Only what begins like a nested value is looked at twice: a string may begin so too.
+def _scalar(value: Column, name: str, raw: Column) -> Column:
+    """A field's text; null if it is nested. Only what begins like a nested value is looked at twice: a string may begin so."""
     whole = F.try_variant_get(F.try_parse_json(value), _path(name), "variant")
     is_text = F.schema_of_variant(whole) == "STRING"
     return F.when(raw.startswith("{") | raw.startswith("["), F.when(is_text, raw)).otherwise(raw)
 
 
+def field(value: Column, name: str) -> Column:
+    """A top-level scalar as text; null where it is missing, null or nested."""
+    return _scalar(value, name, F.get_json_object(value, _path(name)))
+
+
+def with_fields(rows: DataFrame, value: str, names: dict[str, str]) -> DataFrame:
+    """Rows with the fields of a JSON column, as ``column: field``, from one reading of each value."""
+    if not names:
+        return rows
+    raw = [f"_raw{i}" for i in range(len(names))]
+    read = rows.select("*", F.json_tuple(value, *names.values()).alias(*raw))
+    return read.withColumns({c: _scalar(F.col(value), n, F.col(r)) for (c, n), r in zip(names.items(), raw, strict=True)}).drop(*raw)
+
+
 def number(x: Column) -> Column:
     return x.try_cast("double")
 

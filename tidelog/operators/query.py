@@ -35,23 +35,21 @@ _MEASURES = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
 
 
 def run(log: DataFrame, q: Query) -> Answer:
-    value = J.text(F.col("value"))
-    seen = log.withColumn("_v", value).where(J.is_object(F.col("_v")))
-    hits = seen.where(J.all_of([J.compare(J.field(F.col("_v"), f), op, lit) for f, op, lit in q.filters]))
-    shown = [J.field(F.col("_v"), f).alias(f) for f in q.project] or [F.col("value")]
-    rows = hits.select(*q.keep, *shown)
+    seen = log.withColumn("_v", J.text(F.col("value"))).where(J.is_object(F.col("_v")))
+    used = dict.fromkeys([*(f for f, _, _ in q.filters), *q.project, *q.group_by, *(f for _, f, _ in q.measures)])
+    at = {f: f"_f{i}" for i, f in enumerate(used)}
+    read = J.with_fields(seen, "_v", {c: f for f, c in at.items()})
+    hits = read.where(J.all_of([J.compare(F.col(at[f]), op, lit) for f, op, lit in q.filters]))
+    rows = hits.select(*q.keep, *([F.col(at[f]).alias(f) for f in q.project] or [F.col("value")]))
     if q.emit_rows is not None:
         rows = rows.orderBy("partition", "offset").limit(q.emit_rows)
     aggregates = None
     if q.group_by:
-        names = list(q.group_by)
-        keys = [J.field(F.col("_v"), f).alias(f) for f in names]
+        keys = [F.col(at[f]).alias(f) for f in q.group_by]
         if q.window_ms:
             keys.append((F.floor(F.unix_millis("ts") / q.window_ms) * q.window_ms).cast("long").alias("window_start_ms"))
-            names.append("window_start_ms")
-        extra = [_MEASURES[fn](J.number(F.col(f"_m_{f}"))).alias(name) for fn, f, name in q.measures]
-        measured = [J.field(F.col("_v"), f).alias(f"_m_{f}") for f in {f for _, f, _ in q.measures}]
-        grouped = hits.select(*keys, *measured).groupBy(*names).agg(F.count("*").alias("n"), *extra)
+        measured = [_MEASURES[fn](J.number(F.col(at[f]))).alias(name) for fn, f, name in q.measures]
+        grouped = hits.groupBy(*keys).agg(F.count("*").alias("n"), *measured)
         aggregates = grouped.withColumn("group_key", J.key_text({f: F.col(f) for f in q.group_by}))
     stats = seen.agg(F.count("*").alias("scanned"), F.max("offset").alias("last_offset"))
     return Answer(rows, aggregates, stats)

@@ -57,13 +57,25 @@ def partial_batch(events: DataFrame, expected: DataFrame, observed: DataFrame, p
     posted = events.join(observed.where("effect_type = 'ledger_update'").select("event_id"), "event_id").groupBy("account_id").agg(F.count("*").alias("posted"))
     accounts = events.select("account_id").distinct().join(balances, "account_id", "left").join(posted, "account_id", "left")
     facts = _beside(
-        _one(status, missing="count_if(status = 'MISSING')", partial="count_if(status = 'PARTIAL')", unresolved="count_if(status = 'UNRESOLVED')", missing_effects="coalesce(sum(CASE WHEN parked_n = 0 THEN missing_n ELSE 0 END), 0)"),
+        _one(
+            status,
+            missing="count_if(status = 'MISSING')",
+            partial="count_if(status = 'PARTIAL')",
+            unresolved="count_if(status = 'UNRESOLVED')",
+            missing_effects="coalesce(sum(CASE WHEN parked_n = 0 THEN missing_n ELSE 0 END), 0)",
+        ),
         _one(observed.groupBy("event_id", "effect_type").count(), duplicated="count_if(count > 1)"),
         _one(moves, backward="count_if(new_offset < prev_offset)"),
         _one(accounts, unexplained="coalesce(sum(abs(coalesce(balance, 0) - coalesce(posted, 0))), 0)"),
         _one(parked, waiting="count_if(status = 'pending')"),
     )
-    rules = [Rule("R1", "all events complete", "missing = 0 AND partial = 0"), Rule("R2", "all effects observed", "missing_effects = 0"), Rule("R3", "no effect twice", "duplicated = 0"), Rule("R4", "offsets only advance", "backward = 0"), Rule("R5", "balances equal posted effects", "unexplained = 0")]
+    rules = [
+        Rule("R1", "all events complete", "missing = 0 AND partial = 0"),
+        Rule("R2", "all effects observed", "missing_effects = 0"),
+        Rule("R3", "no effect twice", "duplicated = 0"),
+        Rule("R4", "offsets only advance", "backward = 0"),
+        Rule("R5", "balances equal posted effects", "unexplained = 0"),
+    ]
     return judge(facts, rules, [("missing > 0 OR partial > 0 OR duplicated > 0 OR missing_effects > 0", "RED"), ("unresolved > 0 OR waiting > 0", "AMBER")], "GREEN")
 
 
@@ -79,22 +91,51 @@ def exactly_once(expected: DataFrame, processed: DataFrame, balances: DataFrame,
         _one(state_offset, state="coalesce(max(last_offset), -1)"),
         _one(balances, balance="coalesce(sum(balance), 0)"),
     )
-    rules = [Rule("E1", "effects are distinct", "done = distinct_done"), Rule("E2", "no event twice", "twice = 0"), Rule("E3", "no event missing", "missing = 0"), Rule("E4", "offsets only advance", "backward = 0"), Rule("E5", "state is at the last effect", "state = high"), Rule("E6", "effects begin at offset 0", "done = 0 OR low = 0"), Rule("E7", "state is at the last expected event", "state = expected_n - 1"), Rule("E8", "balances equal expected sums", "balance = expected_sum")]
+    rules = [
+        Rule("E1", "effects are distinct", "done = distinct_done"),
+        Rule("E2", "no event twice", "twice = 0"),
+        Rule("E3", "no event missing", "missing = 0"),
+        Rule("E4", "offsets only advance", "backward = 0"),
+        Rule("E5", "state is at the last effect", "state = high"),
+        Rule("E6", "effects begin at offset 0", "done = 0 OR low = 0"),
+        Rule("E7", "state is at the last expected event", "state = expected_n - 1"),
+        Rule("E8", "balances equal expected sums", "balance = expected_sum"),
+    ]
     ok = " AND ".join(f"({r.holds})" for r in rules)
     return judge(facts, rules, [(f"NOT ({ok})", "FAIL")], "PASS")
 
 
 def webhook_ordering(handled: DataFrame) -> DataFrame:
     """R3, over the rows of ranked_states of one payment."""
-    facts = _one(handled, final="max_by(CASE WHEN action = 'APPLIED' THEN incoming ELSE current END, seq)", wins="max(successes)", stale="count_if(reason = 'stale_state_transition')", repeats="count_if(reason = 'duplicate_webhook')", lowered="count_if(incoming = 'PROCESSING' AND action = 'APPLIED' AND current IS NOT NULL)")
-    rules = [Rule("W1", "final state is success and was never lowered", "final = 'SUCCESS' AND lowered = 0"), Rule("W2", "success took effect once", "wins = 1"), Rule("W3", "one stale and one repeated webhook suppressed", "stale = 1 AND repeats = 1")]
+    facts = _one(
+        handled,
+        final="max_by(CASE WHEN action = 'APPLIED' THEN incoming ELSE current END, seq)",
+        wins="max(successes)",
+        stale="count_if(reason = 'stale_state_transition')",
+        repeats="count_if(reason = 'duplicate_webhook')",
+        lowered="count_if(incoming = 'PROCESSING' AND action = 'APPLIED' AND current IS NOT NULL)",
+    )
+    rules = [
+        Rule("W1", "final state is success and was never lowered", "final = 'SUCCESS' AND lowered = 0"),
+        Rule("W2", "success took effect once", "wins = 1"),
+        Rule("W3", "one stale and one repeated webhook suppressed", "stale = 1 AND repeats = 1"),
+    ]
     return judge(facts, rules, [(f"NOT ({' AND '.join(f'({r.holds})' for r in rules)})", "RED")], "GREEN")
 
 
 def dlq_redrive(items: DataFrame, messages: DataFrame, attempts: DataFrame) -> DataFrame:
     """R4. items (message_id, replay_safety, disposition), messages (message_id, status), attempts (message_id, outcome)."""
-    facts = _beside(_one(items, items="count(*)", unsafe="count_if(replay_safety <> 'SAFE')", open_items="count_if(disposition = 'UNRESOLVED')"), _one(messages, done="count_if(status = 'PROCESSED')"), _one(attempts.where("outcome = 'FAILED'").groupBy("message_id").count(), retried="count_if(count >= 3)"))
-    rules = [Rule("D1", "other messages went on", "done > 0"), Rule("D2", "every parked item was retried", "retried >= items"), Rule("D3", "parked items are accounted for", "open_items <= items"), Rule("D4", "parked items are safe to replay", "unsafe = 0", "REVIEW")]
+    facts = _beside(
+        _one(items, items="count(*)", unsafe="count_if(replay_safety <> 'SAFE')", open_items="count_if(disposition = 'UNRESOLVED')"),
+        _one(messages, done="count_if(status = 'PROCESSED')"),
+        _one(attempts.where("outcome = 'FAILED'").groupBy("message_id").count(), retried="count_if(count >= 3)"),
+    )
+    rules = [
+        Rule("D1", "other messages went on", "done > 0"),
+        Rule("D2", "every parked item was retried", "retried >= items"),
+        Rule("D3", "parked items are accounted for", "open_items <= items"),
+        Rule("D4", "parked items are safe to replay", "unsafe = 0", "REVIEW"),
+    ]
     return judge(facts, rules, [("unsafe > 0", "YELLOW")], "GREEN")
 
 
@@ -102,12 +143,29 @@ def ledger_clearance(entries: DataFrame, journals: DataFrame, accounts: DataFram
     """R5 of one attempt. opening: the available balance before it."""
     both = entries.join(journals.select("journal_id", "status"), "journal_id")
     facts = _beside(
-        _one(both, debit="coalesce(sum(amount) FILTER (WHERE direction = 'DEBIT'), 0)", credit="coalesce(sum(amount) FILTER (WHERE direction = 'CREDIT'), 0)", entries_n="count(*)", committed="coalesce(bool_and(status = 'COMMITTED'), false)"),
-        _one(accounts, available="max(balance) FILTER (WHERE account_id = 'user_available')", held="max(balance) FILTER (WHERE account_id = 'clearance_account')"),
+        _one(
+            both,
+            debit="coalesce(sum(amount) FILTER (WHERE direction = 'DEBIT'), 0)",
+            credit="coalesce(sum(amount) FILTER (WHERE direction = 'CREDIT'), 0)",
+            entries_n="count(*)",
+            committed="coalesce(bool_and(status = 'COMMITTED'), false)",
+        ),
+        _one(
+            accounts,
+            available="max(balance) FILTER (WHERE account_id = 'user_available')",
+            held="max(balance) FILTER (WHERE account_id = 'clearance_account')",
+        ),
         _one(results, amount="max(ledger_amount)", bank="coalesce(max(match_status), 'MISSING')"),
     )
     sound, cleared, matched = "committed AND entries_n = 2 AND debit = credit AND debit <> 0", f"held = amount AND available = {opening} - amount", "bank = 'MATCHED'"
-    rules = [Rule("L1", "posting was atomic", "committed AND entries_n = 2"), Rule("L2", "debits equal credits", "debit = credit AND debit <> 0"), Rule("L3", "no partial posting", "entries_n = 2"), Rule("L4", "funds are held and the available balance is reduced", cleared), Rule("L5", "bank statement matches", matched), Rule("L6", "discrepancy is explained", matched)]
+    rules = [
+        Rule("L1", "posting was atomic", "committed AND entries_n = 2"),
+        Rule("L2", "debits equal credits", "debit = credit AND debit <> 0"),
+        Rule("L3", "no partial posting", "entries_n = 2"),
+        Rule("L4", "funds are held and the available balance is reduced", cleared),
+        Rule("L5", "bank statement matches", matched),
+        Rule("L6", "discrepancy is explained", matched),
+    ]
     return judge(facts, rules, [(f"NOT (({sound}) AND ({cleared}))", "RED"), (matched, "GREEN")], "YELLOW")
 
 
@@ -116,8 +174,23 @@ def provider_timeout(payments: DataFrame, calls: DataFrame) -> DataFrame:
     wins = payments.where("internal_state = 'SUCCESS_CONFIRMED'").groupBy("idempotency_key").count()
     live = payments.where("internal_state <> 'SUPPRESSED_DUPLICATE'").groupBy("idempotency_key").count()
     blind = calls.join(payments.where("ambiguity_reason = 'provider_timeout'").select("attempt_id"), "attempt_id").where("request_type = 'CHARGE' AND call_id NOT LIKE 'call_%_charge'")
-    facts = _beside(_one(wins, charged_twice="coalesce(sum(greatest(count - 1, 0)), 0)"), _one(live, shared_keys="count_if(count > 1)"), _one(payments, unknown="count_if(internal_state = 'AMBIGUOUS' AND provider_transaction_id IS NULL)", too_final="count_if(internal_state = 'AMBIGUOUS' AND customer_state IN ('PAID', 'FAILED'))"), _one(blind, blind="count(*)"))
-    rules = [Rule("P1", "nobody is charged twice", "charged_twice = 0"), Rule("P2", "a key stands for one payment", "shared_keys = 0"), Rule("P3", "provider's commitment is known", "unknown = 0"), Rule("P4", "no final customer state on unknown commitment", "too_final = 0"), Rule("P5", "no blind retry after a timeout", "blind = 0")]
+    facts = _beside(
+        _one(wins, charged_twice="coalesce(sum(greatest(count - 1, 0)), 0)"),
+        _one(live, shared_keys="count_if(count > 1)"),
+        _one(
+            payments,
+            unknown="count_if(internal_state = 'AMBIGUOUS' AND provider_transaction_id IS NULL)",
+            too_final="count_if(internal_state = 'AMBIGUOUS' AND customer_state IN ('PAID', 'FAILED'))",
+        ),
+        _one(blind, blind="count(*)"),
+    )
+    rules = [
+        Rule("P1", "nobody is charged twice", "charged_twice = 0"),
+        Rule("P2", "a key stands for one payment", "shared_keys = 0"),
+        Rule("P3", "provider's commitment is known", "unknown = 0"),
+        Rule("P4", "no final customer state on unknown commitment", "too_final = 0"),
+        Rule("P5", "no blind retry after a timeout", "blind = 0"),
+    ]
     return judge(facts, rules, [("charged_twice > 0 OR shared_keys > 0 OR too_final > 0 OR blind > 0", "RED"), ("unknown > 0", "YELLOW")], "GREEN")
 
 
@@ -129,23 +202,62 @@ def pipeline_audit(quality: DataFrame) -> DataFrame:
 
 def pipeline_recovery(pages: DataFrame, audits: DataFrame, evidence: DataFrame, expected_pages: int) -> DataFrame:
     """R8. pages (page_no, status, critical), audits (audit_written_at, offset_committed_at), evidence (durable, sealed, msg_offset)."""
-    facts = _beside(_one(pages, confirmed="count_if(status = 'CONFIRMED')", missing="count_if(status = 'MISSING')", critical="count_if(status = 'MISSING' AND critical)"), _one(audits, audited="count(*)", ordered="coalesce(bool_and(offset_committed_at IS NOT NULL AND offset_committed_at >= audit_written_at), false)"), _one(evidence, replayable="coalesce(bool_and(durable AND sealed AND msg_offset IS NOT NULL), false)"))
-    rules = [Rule("D1", "all pages confirmed", f"confirmed = {expected_pages}", "WARN"), Rule("D2", "no critical page missing", "critical = 0"), Rule("D3", "an audit was written", "audited > 0"), Rule("D4", "offset committed after the audit", "ordered"), Rule("D5", "replay is deterministic", "replayable")]
+    facts = _beside(
+        _one(pages, confirmed="count_if(status = 'CONFIRMED')", missing="count_if(status = 'MISSING')", critical="count_if(status = 'MISSING' AND critical)"),
+        _one(audits, audited="count(*)", ordered="coalesce(bool_and(offset_committed_at IS NOT NULL AND offset_committed_at >= audit_written_at), false)"),
+        _one(evidence, replayable="coalesce(bool_and(durable AND sealed AND msg_offset IS NOT NULL), false)"),
+    )
+    rules = [
+        Rule("D1", "all pages confirmed", f"confirmed = {expected_pages}", "WARN"),
+        Rule("D2", "no critical page missing", "critical = 0"),
+        Rule("D3", "an audit was written", "audited > 0"),
+        Rule("D4", "offset committed after the audit", "ordered"),
+        Rule("D5", "replay is deterministic", "replayable"),
+    ]
     return judge(facts, rules, [("critical > 0", "FAIL"), ("missing > 0", "WARN")], "PASS")
 
 
 def payment_ambiguity(checks: DataFrame, calls: DataFrame, requests: DataFrame, effects: DataFrame, audits: DataFrame, cache: DataFrame) -> DataFrame:
     """R9. checks (attempt_no, result), calls (created_at, outcome), requests (duplicate, durable, sealed), cache as of R11."""
-    facts = _beside(_one(checks, checked="max_by(result, attempt_no)"), _one(calls, called="max_by(outcome, created_at)"), _one(requests, durable="coalesce(bool_and(durable AND sealed) FILTER (WHERE NOT duplicate), false)", logical="count_if(NOT duplicate)"), _one(effects, credits="count(*)"), _one(audits, ordered="coalesce(bool_and(offset_committed_at IS NOT NULL AND offset_committed_at >= audit_written_at), false)"), _one(cache_reconciliation(cache), backfilled="coalesce(bool_and(cache_backfilled), false)"))
+    facts = _beside(
+        _one(checks, checked="max_by(result, attempt_no)"),
+        _one(calls, called="max_by(outcome, created_at)"),
+        _one(requests, durable="coalesce(bool_and(durable AND sealed) FILTER (WHERE NOT duplicate), false)", logical="count_if(NOT duplicate)"),
+        _one(effects, credits="count(*)"),
+        _one(audits, ordered="coalesce(bool_and(offset_committed_at IS NOT NULL AND offset_committed_at >= audit_written_at), false)"),
+        _one(cache_reconciliation(cache), backfilled="coalesce(bool_and(cache_backfilled), false)"),
+    )
     known = "coalesce(checked, called) = 'SUCCESS'"
-    rules = [Rule("P1", "event is durable", "durable"), Rule("P2", "offset committed after the audit", "ordered"), Rule("P3", "wallet credited once at most", "credits <= 1"), Rule("P4", "cache follows the database", "backfilled"), Rule("P5", "one logical event", "logical = 1"), Rule("P6", "provider's commitment is verified", known, "PENDING")]
+    rules = [
+        Rule("P1", "event is durable", "durable"),
+        Rule("P2", "offset committed after the audit", "ordered"),
+        Rule("P3", "wallet credited once at most", "credits <= 1"),
+        Rule("P4", "cache follows the database", "backfilled"),
+        Rule("P5", "one logical event", "logical = 1"),
+        Rule("P6", "provider's commitment is verified", known, "PENDING"),
+    ]
     return judge(facts, rules, [(f"coalesce(({known}) AND backfilled AND credits <= 1, false)", "GREEN")], "YELLOW")
 
 
 def terminal_ordering(handled: DataFrame, effects: DataFrame, evidence: DataFrame) -> DataFrame:
     """R10. handled: rows of terminal_states with committed; evidence: (msg_offset, durable, gap): see scan.offset_gaps."""
-    facts = _beside(_one(handled, final="max_by(after, seq)", lowered="count_if(before IN ('SUCCESS', 'FAILED') AND incoming = 'PROCESSING' AND decision = 'APPLIED')", revived="count_if(before = 'FAILED' AND incoming = 'SUCCESS' AND decision = 'APPLIED')", committed="bool_and(committed)"), _one(effects, wins="count(*)"), _one(evidence, replayable="coalesce(bool_and(durable), false) AND count_if(gap) = 0"))
-    rules = [Rule("W1", "payment reached a terminal state", "final IN ('SUCCESS', 'FAILED')"), Rule("W2", "no stale webhook lowered the state", "lowered = 0"), Rule("W3", "success took effect once", "wins = 1"), Rule("W4", "no terminal state was changed", "revived = 0")]
+    facts = _beside(
+        _one(
+            handled,
+            final="max_by(after, seq)",
+            lowered="count_if(before IN ('SUCCESS', 'FAILED') AND incoming = 'PROCESSING' AND decision = 'APPLIED')",
+            revived="count_if(before = 'FAILED' AND incoming = 'SUCCESS' AND decision = 'APPLIED')",
+            committed="bool_and(committed)",
+        ),
+        _one(effects, wins="count(*)"),
+        _one(evidence, replayable="coalesce(bool_and(durable), false) AND count_if(gap) = 0"),
+    )
+    rules = [
+        Rule("W1", "payment reached a terminal state", "final IN ('SUCCESS', 'FAILED')"),
+        Rule("W2", "no stale webhook lowered the state", "lowered = 0"),
+        Rule("W3", "success took effect once", "wins = 1"),
+        Rule("W4", "no terminal state was changed", "revived = 0"),
+    ]
     ok = " AND ".join(f"({r.holds})" for r in rules) + " AND committed AND replayable"
     return judge(facts, rules, [(f"NOT coalesce({ok}, false)", "RED")], "GREEN")
 

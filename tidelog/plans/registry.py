@@ -61,7 +61,11 @@ def log_base64(spark, d):
     return _stored(spark, d).select("topic", F.col("partition").alias("part"), F.col("offset").alias("off"), F.base64("key").alias("encode_key"))
 
 
-@register(f"WITH {LOG}, c AS (SELECT topic, user_id % 3 AS grp, part, max(off) // 2 AS committed FROM log GROUP BY ALL) SELECT c.topic, CAST(c.grp AS VARCHAR) AS grp, c.part, count(*) AS n_unread, min(log.off) AS next_off FROM log JOIN c ON log.topic = c.topic AND log.part = c.part WHERE log.off > c.committed GROUP BY ALL")
+@register(
+    f"""WITH {LOG}, c AS (SELECT topic, user_id % 3 AS grp, part, max(off) // 2 AS committed FROM log
+GROUP BY ALL) SELECT c.topic, CAST(c.grp AS VARCHAR) AS grp, c.part, count(*) AS n_unread, min(log.off) AS next_off FROM log
+JOIN c ON log.topic = c.topic AND log.part = c.part WHERE log.off > c.committed GROUP BY ALL"""
+)
 def commit_and_unread(spark, d):
     log = events_log(spark, d)
     heads = log.groupBy("topic", F.pmod("user_id", F.lit(3)).cast("string").alias("group_id"), "partition").agg(F.floor(F.max("offset") / 2).alias("h"))
@@ -75,7 +79,10 @@ def offset_gap_check(spark, d):
     return scan.offset_gaps(events_log(spark, d)).withColumnRenamed("partition", "part")
 
 
-@register("WITH h AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, count(*) FILTER (value < b) AS moves FROM h GROUP BY user_id")
+@register(
+    """WITH h AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b
+FROM events) SELECT user_id, count(*) FILTER (value < b) AS moves FROM h GROUP BY user_id"""
+)
 def monotonic_check(spark, d):
     return scan.backward_moves(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value")
 
@@ -87,7 +94,10 @@ def retention_ttl(spark, d):
     return scan.visible(log.crossJoin(F.broadcast(now)), now=F.col("_now"), ttl_ms=TTL_MS).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@register(f"WITH {LOG}, s AS (SELECT topic, part, off, sum(length(props)) OVER (PARTITION BY topic, part ORDER BY off DESC ROWS UNBOUNDED PRECEDING) AS held FROM log) SELECT topic, part, count(*) AS n, min(off) AS first_off FROM s WHERE held <= 2000 GROUP BY ALL")
+@register(
+    f"""WITH {LOG}, s AS (SELECT topic, part, off, sum(length(props)) OVER (PARTITION BY topic, part ORDER BY off DESC ROWS UNBOUNDED PRECEDING) AS held
+FROM log) SELECT topic, part, count(*) AS n, min(off) AS first_off FROM s WHERE held <= 2000 GROUP BY ALL"""
+)
 def retention_bytes(spark, d):
     e = table(spark, d, "events").select("event_id", "props")
     log = events_log(spark, d).join(e, "event_id")
@@ -95,7 +105,12 @@ def retention_bytes(spark, d):
     return kept.groupBy("topic", F.col("partition").alias("part")).agg(F.count("*").alias("n"), F.min("offset").alias("first_off"))
 
 
-@register(f"WITH {LOG}, b AS (SELECT topic, part, max(off) // 3 AS floor FROM log GROUP BY ALL) SELECT log.topic, log.part, count(*) FILTER (off >= floor) AS kept, count(*) FILTER (off < floor) AS deleted_count, CAST(sum(length(CAST(user_id AS VARCHAR))) FILTER (off < floor) AS BIGINT) AS freed_bytes FROM log JOIN b ON log.topic = b.topic AND log.part = b.part GROUP BY ALL")
+@register(
+    f"""WITH {LOG}, b AS (SELECT topic, part, max(off) // 3 AS floor FROM log
+GROUP BY ALL) SELECT log.topic, log.part, count(*) FILTER (off >= floor) AS kept, count(*) FILTER (off < floor) AS deleted_count,
+  CAST(sum(length(CAST(user_id AS VARCHAR))) FILTER (off < floor) AS BIGINT) AS freed_bytes
+FROM log JOIN b ON log.topic = b.topic AND log.part = b.part GROUP BY ALL"""
+)
 def delete_before(spark, d):
     log = events_log(spark, d).withColumn("value", F.lit(None).cast("binary"))
     floors = log.groupBy("topic", "partition").agg(F.floor(F.max("offset") / 3).alias("floor"))
@@ -104,7 +119,10 @@ def delete_before(spark, d):
     return kept.join(gone, ["topic", "partition"], "left").select("topic", F.col("partition").alias("part"), "kept", F.coalesce("deleted_count", F.lit(0)).alias("deleted_count"), "freed_bytes")
 
 
-@register(f"WITH {LOG}, h AS (SELECT topic, part, max(off) + 1 - 100 AS low FROM log GROUP BY ALL) SELECT log.topic, log.part, count(*) AS n FROM log JOIN h ON log.topic = h.topic AND log.part = h.part WHERE off >= low AND event_id % 7 <> 0 GROUP BY ALL")
+@register(
+    f"""WITH {LOG}, h AS (SELECT topic, part, max(off) + 1 - 100 AS low FROM log GROUP BY ALL) SELECT log.topic, log.part, count(*) AS n FROM log
+JOIN h ON log.topic = h.topic AND log.part = h.part WHERE off >= low AND event_id % 7 <> 0 GROUP BY ALL"""
+)
 def visible_ring(spark, d):
     log = events_log(spark, d).withColumn("status", F.when(F.col("event_id") % 7 == 0, "tombstone"))
     heads = scan.visible(log.drop("status"), capacity=100).select("event_id")
@@ -128,7 +146,10 @@ def ndjson_ingest(spark, d):
     return ndjson(lines, "items", 0, F.lit(None).cast("timestamp")).select(F.col("offset").alias("off"), J.text(F.col("value")).alias("body"))
 
 
-@register("WITH n AS (SELECT event_id, 1000 + row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS off FROM events WHERE event_type IN ('click', 'view')) SELECT * FROM n")
+@register(
+    """WITH n AS (SELECT event_id, 1000 + row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS off FROM events
+WHERE event_type IN ('click', 'view')) SELECT * FROM n"""
+)
 def batch_produce(spark, d):
     e = table(spark, d, "events").where("event_type IN ('click', 'view')").select(F.col("event_type").alias("topic"), F.lit(0).alias("partition"), "ts", "event_id")
     heads = e.select("topic", "partition").distinct().withColumn("head", F.lit(1000))
@@ -148,7 +169,10 @@ def idempotent_first_wins(spark, d):
     return fold.first_wins(table(spark, d, "conversations"), ["conv_id", "role"], ["turn"]).select("conv_id", "turn", "role")
 
 
-@register(f"WITH {LOG} SELECT event_id, min(off) OVER w AS answer_offset, row_number() OVER (w ORDER BY off) > 1 AS duplicate FROM log WINDOW w AS (PARTITION BY topic, part, user_id, k)")
+@register(
+    f"""WITH {LOG} SELECT event_id, min(off) OVER w AS answer_offset, row_number() OVER (w ORDER BY off) > 1 AS duplicate FROM log
+WINDOW w AS (PARTITION BY topic, part, user_id, k)"""
+)
 def idempotent_produce(spark, d):
     log = events_log(spark, d).withColumn("k", J.field(J.text(F.col("value")), "k"))
     return fold.idempotent_results(log, ["topic", "partition", "user_id", "k"], ["offset"]).select("event_id", "answer_offset", "duplicate")
@@ -177,13 +201,20 @@ def filter_compound(spark, d):
     return query.run(events_log(spark, d), q).rows.select("topic", F.col("partition").alias("part"), F.col("offset").alias("off"), F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"))
 
 
-@register("SELECT (SELECT count(*) FROM events WHERE coalesce(json_extract_string(props, '$.k') <> '7', false)) AS ne_present, CAST(0 AS BIGINT) AS ne_missing, (SELECT count(*) FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 42) AS gt_text")
+@register(
+    """SELECT (SELECT count(*) FROM events
+WHERE coalesce(json_extract_string(props, '$.k') <> '7', false)) AS ne_present, CAST(0 AS BIGINT) AS ne_missing, (SELECT count(*) FROM events
+WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 42) AS gt_text"""
+)
 def filter_ne_missing(spark, d):
     props = table(spark, d, "events").select(F.col("props").cast("string").alias("p"))
     return props.agg(F.count_if(J.compare(J.field(F.col("p"), "k"), "ne", 7)).alias("ne_present"), F.count_if(J.compare(J.field(F.col("p"), "nope"), "ne", 7)).alias("ne_missing"), F.count_if(J.compare(J.field(F.col("p"), "k"), "gt", "42")).alias("gt_text"))
 
 
-@register("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS nope, 'USD' AS currency, json_extract_string(props, '$.k') AS alias_k FROM events WHERE event_type = 'signup'")
+@register(
+    """SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS nope, 'USD' AS currency, json_extract_string(props, '$.k') AS alias_k
+FROM events WHERE event_type = 'signup'"""
+)
 def project_fields(spark, d):
     e = table(spark, d, "events").where("event_type = 'signup'")
     p = F.col("props")
@@ -196,18 +227,27 @@ def project_object(spark, d):
     return e.select("event_id", J.object_of(F.col("props"), ["k", "nope"]).alias("body"))
 
 
-@register(f"WITH {LOG} SELECT topic AS event_type, CAST(user_id AS VARCHAR) AS user_id, count(*) AS n, 'event_type=' || topic || '|user_id=' || user_id AS group_key, round(sum(value), 2) AS total FROM log WHERE value >= 50 GROUP BY topic, user_id")
+@register(
+    f"""WITH {LOG} SELECT topic AS event_type, CAST(user_id AS VARCHAR) AS user_id, count(*) AS n, 'event_type=' || topic || '|user_id=' || user_id AS group_key, round(sum(value), 2) AS total
+FROM log WHERE value >= 50 GROUP BY topic, user_id"""
+)
 def group_count_key(spark, d):
     q = query.Query(filters=(("amount", "ge", 50),), group_by=("event_type", "user_id"), emit_rows=0, measures=(("sum", "amount", "total"),))
     return query.run(events_log(spark, d), q).aggregates.withColumn("total", F.round("total", 2))
 
 
-@register("SELECT event_type, CAST(NULL AS VARCHAR) AS nope, count(*) AS n, 'event_type=' || event_type || '|nope=null' AS group_key FROM events GROUP BY event_type")
+@register(
+    """SELECT event_type, CAST(NULL AS VARCHAR) AS nope, count(*) AS n, 'event_type=' || event_type || '|nope=null' AS group_key FROM events
+GROUP BY event_type"""
+)
 def group_count_null_bucket(spark, d):
     return query.run(events_log(spark, d), query.Query(group_by=("event_type", "nope"))).aggregates
 
 
-@register("SELECT event_type, epoch_us(ts) // 1000 // 21600000 * 21600000 AS window_start_ms, count(*) AS n, 'event_type=' || event_type AS group_key FROM events GROUP BY ALL")
+@register(
+    """SELECT event_type, epoch_us(ts) // 1000 // 21600000 * 21600000 AS window_start_ms, count(*) AS n, 'event_type=' || event_type AS group_key FROM events
+GROUP BY ALL"""
+)
 def query_tumbling(spark, d):
     return query.run(events_log(spark, d), query.Query(group_by=("event_type",), window_ms=SIX_HOURS)).aggregates
 
@@ -218,7 +258,11 @@ def query_stats(spark, d):
     return query.run(page, query.Query()).stats.withColumn("scanned", F.col("scanned").cast("int"))
 
 
-@register("SELECT o_orderpriority, count(*) AS orders, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O' AND o_totalprice > 100000) AS open_large, coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'nope'), 0) AS none FROM orders GROUP BY 1")
+@register(
+    """SELECT o_orderpriority, count(*) AS orders, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O' AND o_totalprice > 100000) AS open_large,
+  coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'nope'), 0) AS none
+FROM orders GROUP BY 1"""
+)
 def cond_counts(spark, d):
     o = table(spark, d, "orders")
     return o.groupBy("o_orderpriority").agg(F.count("*").alias("orders"), _if("o_orderstatus = 'F'").alias("done"), _if("o_orderstatus = 'O' AND o_totalprice > 100000").alias("open_large"), F.coalesce(F.expr("sum(o_totalprice) FILTER (WHERE o_orderstatus = 'nope')"), F.lit(0)).alias("none"))
@@ -229,7 +273,11 @@ def count_distinct_having(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds")).where("n > 60")
 
 
-@register("SELECT l_orderkey, bool_and(l_quantity >= 5) AS all_large, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) FILTER (l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1")
+@register(
+    """SELECT l_orderkey, bool_and(l_quantity >= 5) AS all_large, string_agg(CAST(l_linenumber AS VARCHAR), ','
+ORDER BY l_linenumber) AS lines, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) FILTER (l_returnflag = 'R') AS returned
+FROM lineitem GROUP BY 1"""
+)
 def ordered_aggregates(spark, d):
     li = table(spark, d, "lineitem")
     listed = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.col("l_linenumber")))), lambda x: x.cast("string")), ",")
@@ -302,14 +350,20 @@ def anti_missing_effects(spark, d):
     return table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
 
 
-@register("SELECT o_orderkey, count(l_linenumber) AS n, coalesce(max(l_quantity), 0) AS most FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY 1")
+@register(
+    """SELECT o_orderkey, count(l_linenumber) AS n, coalesce(max(l_quantity), 0) AS most FROM orders LEFT
+JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY 1"""
+)
 def left_multi_on(spark, d):
     li = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'F'")
     j = table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return j.groupBy("o_orderkey").agg(F.count("l_linenumber").alias("n"), F.coalesce(F.max("l_quantity"), F.lit(0)).alias("most"))
 
 
-@register("SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM customer) AS customers, (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) AS latest")
+@register(
+    """SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM customer) AS customers, (SELECT o_orderkey FROM orders
+ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) AS latest"""
+)
 def cross_scalar(spark, d):
     o = table(spark, d, "orders").agg(F.count("*").alias("orders"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
     return o.crossJoin(table(spark, d, "customer").agg(F.count("*").alias("customers"))).select("orders", "customers", "latest")
@@ -329,13 +383,20 @@ def tumbling_count(spark, d):
     return e.groupBy(F.window("ts", "6 hours").start.cast("timestamp_ntz").alias("window_start"), "event_type").agg(F.count("*").alias("n"))
 
 
-@register("SELECT time_bucket(INTERVAL '6 hours', ts) - s * INTERVAL '6 hours' AS window_start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS s) GROUP BY ALL")
+@register(
+    """SELECT time_bucket(INTERVAL '6 hours', ts) - s * INTERVAL '6 hours' AS window_start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS s)
+GROUP BY ALL"""
+)
 def sliding_count(spark, d):
     e = table(spark, d, "events")
     return e.groupBy(F.window("ts", "12 hours", "6 hours").start.cast("timestamp_ntz").alias("window_start")).agg(F.count("*").alias("n"))
 
 
-@register("WITH m AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS sid FROM m) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, sid")
+@register(
+    """WITH m AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id
+ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS sid FROM m) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, sid"""
+)
 def session_count(spark, d):
     e = table(spark, d, "events")
     g = e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
@@ -375,7 +436,15 @@ def state_machine_terminal(spark, d):
     return decided.groupBy("decision").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.count_if("again").alias("repeated"))
 
 
-@register("WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILED' ELSE 'PROCESSING' END AS state FROM events), t AS (SELECT *, arg_max(state, CASE WHEN state <> 'PROCESSING' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM s) SELECT CASE WHEN state = 'PROCESSING' AND top IS NOT NULL THEN 'IGNORED' WHEN coalesce(top, CASE WHEN seen > 0 THEN 'PROCESSING' END) = state THEN 'SUPPRESSED' ELSE 'APPLIED' END AS action, count(*) AS n FROM t GROUP BY 1")
+@register(
+    """WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILED' ELSE 'PROCESSING' END AS state
+FROM events), t AS (SELECT *, arg_max(state, CASE WHEN state <> 'PROCESSING' THEN event_id END) OVER (PARTITION BY user_id
+ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, count(*) OVER (PARTITION BY user_id
+ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+FROM s) SELECT CASE WHEN state = 'PROCESSING' AND top IS NOT NULL THEN 'IGNORED' WHEN coalesce(top,
+  CASE WHEN seen > 0 THEN 'PROCESSING' END) = state THEN 'SUPPRESSED' ELSE 'APPLIED' END AS action, count(*) AS n
+FROM t GROUP BY 1"""
+)
 def state_machine_ranked(spark, d):
     return fold.ranked_states(_payments(spark, d)).groupBy("action").agg(F.count("*").alias("n"))
 
@@ -385,7 +454,10 @@ def retry_dlq(spark, d):
     return fold.dead_letters(table(spark, d, "events"), ["user_id"], "event_type = 'error'")
 
 
-@register("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 2 = 0) AS repaired, count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 2 <> 0) AS still_missing FROM orders GROUP BY 1")
+@register(
+    """SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 2 = 0) AS repaired, count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 2 <> 0) AS still_missing
+FROM orders GROUP BY 1"""
+)
 def replay_repair(spark, d):
     o = table(spark, d, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "O", "MISSING").otherwise("CONFIRMED"))
     fixed = fold.repair_missing(o, o.where("o_orderkey % 2 = 0"), ["o_orderkey"])
@@ -406,20 +478,34 @@ def receipt_reconcile(spark, d):
     return status.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@register("WITH f AS (SELECT (SELECT count(*) FROM documents) - (SELECT count(*) FROM labels) AS missing, (SELECT count(*) FROM documents WHERE text = '') AS invalid) SELECT id AS rule_id, name AS rule_name, CASE WHEN id = 'D1' THEN CASE WHEN missing = 0 THEN 'PASS' ELSE 'WARN' END ELSE CASE WHEN invalid = 0 THEN 'PASS' ELSE 'FAIL' END END AS status, CASE WHEN missing > 0 OR invalid > 0 THEN 'WARN' ELSE 'GREEN' END AS verdict FROM f, (VALUES ('D1', 'rows in equal rows out'), ('D2', 'required fields are valid')) t(id, name)")
+@register(
+    """WITH f AS (SELECT (SELECT count(*) FROM documents) - (SELECT count(*) FROM labels) AS missing, (SELECT count(*) FROM documents
+WHERE text = '') AS invalid) SELECT id AS rule_id, name AS rule_name,
+  CASE WHEN id = 'D1' THEN CASE WHEN missing = 0 THEN 'PASS' ELSE 'WARN' END ELSE CASE WHEN invalid = 0 THEN 'PASS' ELSE 'FAIL' END END AS status,
+  CASE WHEN missing > 0 OR invalid > 0 THEN 'WARN' ELSE 'GREEN' END AS verdict
+FROM f, (VALUES ('D1', 'rows in equal rows out'), ('D2', 'required fields are valid')) t(id, name)"""
+)
 def receipt_pipeline_audit(spark, d):
     docs = table(spark, d, "documents").agg(F.count("*").alias("n"), _if("text = ''").alias("invalid_rows"))
     labels = table(spark, d, "labels").agg(F.count("*").alias("m"))
     return receipts.pipeline_audit(docs.crossJoin(labels).select((F.col("n") - F.col("m")).alias("missing_rows"), "invalid_rows"))
 
 
-@register("SELECT l_returnflag, round(sum(l_extendedprice), 2) AS debit, round(sum(l_extendedprice * (1 - l_discount)), 2) AS credit, abs(round(sum(l_extendedprice), 2) - round(sum(l_extendedprice * (1 - l_discount)), 2)) < 0.005 AS balanced FROM lineitem GROUP BY 1")
+@register(
+    """SELECT l_returnflag, round(sum(l_extendedprice), 2) AS debit, round(sum(l_extendedprice * (1 - l_discount)), 2) AS credit, abs(round(sum(l_extendedprice),
+  2) - round(sum(l_extendedprice * (1 - l_discount)), 2)) < 0.005 AS balanced
+FROM lineitem GROUP BY 1"""
+)
 def ledger_balance(spark, d):
     g = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_extendedprice"), 2).alias("debit"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("credit"))
     return g.withColumn("balanced", F.abs(F.col("debit") - F.col("credit")) < 0.005)
 
 
-@register("SELECT conv_id AS attempt_id, arg_max(role, turn) AS database_state, arg_min(role, turn) AS cache_before, arg_max(role, turn) AS cache_after, arg_max(role, turn) IS NOT NULL AS cache_backfilled, arg_min(role, turn) IS DISTINCT FROM arg_max(role, turn) AS repaired FROM conversations GROUP BY conv_id")
+@register(
+    """SELECT conv_id AS attempt_id, arg_max(role, turn) AS database_state, arg_min(role, turn) AS cache_before, arg_max(role, turn) AS cache_after, arg_max(role,
+  turn) IS NOT NULL AS cache_backfilled, arg_min(role, turn) IS DISTINCT
+FROM arg_max(role, turn) AS repaired FROM conversations GROUP BY conv_id"""
+)
 def cache_reconcile(spark, d):
     c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("attempt_id")).agg(F.max_by("role", "turn").alias("database_state"), F.min_by("role", "turn").alias("cache_before"), F.max_by("role", "turn").alias("cache_after"))
     return receipts.cache_reconciliation(c)
@@ -440,7 +526,10 @@ def scalar_functions(spark, d):
     return p.select("url", "escaped", J.percent_decoded(F.col("escaped")).alias("decoded"), F.base64(url.cast("binary")).alias("b64"), part.alias("part"))
 
 
-@register("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE 'fraction' END AS canon FROM events")
+@register(
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE 'fraction' END AS canon
+FROM events"""
+)
 def number_text(spark, d):
     e = table(spark, d, "events")
     canon = J.canonical(F.col("value").cast("string"))

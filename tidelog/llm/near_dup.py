@@ -331,6 +331,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = named.withColumn("component", F.coalesce("component", "sid"))
     named = with_group_value(named, "component", "sid", "class_id", F.min("rep"), F.min)
     named = named.join(links, "sid", "left").select("sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = cut(named, "named")  # so that the join below has exchanges of its own, whose large partitions can be split
     known = F.col("doc_id").isNotNull()
     out = signed.select("doc_id", "sid").join(named, "sid", "left")
     return out.select("doc_id", F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))

@@ -91,14 +91,12 @@ def _digest(words: Words, keep: np.ndarray | None = None) -> list[str]:
     return [hashlib.sha256(out[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _zip(*parts: bytes) -> bytes:
-    """Parts as one compressed byte string."""
-    sizes = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes, *parts]))
+def _glue(*parts: bytes) -> bytes:
+    """Parts as one byte string. Tables of such strings are compressed as columns, which finds more than each string has."""
+    return b"".join([np.array([len(parts), *map(len, parts)], "<i8").tobytes(), *parts])
 
 
-def _unzip(data: bytes) -> list[bytes]:
-    data = zstandard.ZstdDecompressor().decompress(data)
+def _parts(data: bytes) -> list[bytes]:
     n = int.from_bytes(data[:8], "little")
     edges = np.cumsum([8 + 8 * n, *np.frombuffer(data, "<i8", n, 8)])
     return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -115,19 +113,23 @@ def _emit(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 def _write_bucket(path: str, prints: np.ndarray, docs: np.ndarray) -> None:
     f = AtomicFile(path)
-    f.write(_zip(pack_sorted(prints), pack_ints(docs)))
+    f.write(_compressed(_glue(pack_sorted(prints), pack_ints(docs))))
     f.close()
 
 
 def _read_bucket(path: str) -> tuple[np.ndarray, np.ndarray]:
-    prints, docs = _unzip(_bytes(path))
+    prints, docs = _parts(_bytes(path))
     return unpack_sorted(prints), unpack_ints(docs)
 
 
 def _bytes(path: str) -> bytes:
     where, inner = open_fs(path)
     with where.open_input_stream(inner) as f:
-        return f.read()
+        return zstandard.ZstdDecompressor().decompress(f.read())
+
+
+def _compressed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
 def _least(strong: np.ndarray, weak: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,17 +142,17 @@ def _least(strong: np.ndarray, weak: np.ndarray, own: np.ndarray) -> tuple[np.nd
 
 def _pack_windows(strong: np.ndarray, weak: np.ndarray, own: np.ndarray, *more: np.ndarray) -> bytes:
     """Windows by both hashes (strong: sorted), and whatever integers belong to them."""
-    return _zip(pack_sorted(strong), weak.astype("<u4").tobytes(), *map(pack_ints, (own, *more)))
+    return _glue(pack_sorted(strong), weak.astype("<u4").tobytes(), *map(pack_ints, (own, *more)))
 
 
 def _unpack_windows(data: bytes) -> tuple[np.ndarray, ...]:
-    strong, weak, *more = _unzip(data)
+    strong, weak, *more = _parts(data)
     return unpack_sorted(strong), np.frombuffer(weak, "<u4"), *map(unpack_ints, more)
 
 
 def _write_windows(path: str, strong: np.ndarray, weak: np.ndarray, own: np.ndarray) -> None:
     f = AtomicFile(path)
-    f.write(_pack_windows(strong, weak, own))
+    f.write(_compressed(_pack_windows(strong, weak, own)))
     f.close()
 
 
@@ -411,7 +413,7 @@ def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: in
         order = np.lexsort((at, ids, grp))
         ids, at, grp = ids[order], at[order], grp[order]
         for x, y in zip(s := _runs_of(grp), [*s[1:], len(grp)], strict=True):
-            rows.append({"kind": HIT, "key": int(grp[x]), "a": _zip(pack_ints(ids[x:y]), pack_ints(at[x:y]))})
+            rows.append({"kind": HIT, "key": int(grp[x]), "a": _glue(pack_ints(ids[x:y]), pack_ints(at[x:y]))})
 
     def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grp, marks, known, rows = None, [], None, []
@@ -450,7 +452,7 @@ def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: in
                     if due.any():
                         size = np.diff(offsets)
                         kept = [pack_ints(ids[due]), pack_ints(nth[due]), np.array(null)[due].tobytes(), pack_ints(size[due]), data[np.repeat(due, size)].tobytes()]
-                        rows.append({"kind": TEXT, "key": int(grp), "a": _zip(*kept)})
+                        rows.append({"kind": TEXT, "key": int(grp), "a": _glue(*kept)})
                     if len(hit):
                         strong, weak = w.strong(hit)
                         own, place = ids[w.row[hit]], w.first[hit] - words.row_ptr[w.row[hit]] + (nth[w.row[hit]] << _NTH)
@@ -515,14 +517,14 @@ def remove_repeats(docs: DataFrame, found: DataFrame, groups: int, *, window: in
                     grp, marks, known = keys[i0], [], None
                 if kinds[i0] == -1:
                     for row in part.to_pylist():
-                        marks.append(tuple(map(unpack_ints, _unzip(row["a"]))))
+                        marks.append(tuple(map(unpack_ints, _parts(row["a"]))))
                     continue
                 if known is None:
                     known = tuple(np.concatenate(x) for x in zip(*marks, strict=True)) if marks else (np.zeros(0, np.int64),) * 2
                     order = np.lexsort(known[::-1])
                     known = (known[0][order], known[1][order])
                 for row in part.column(columns_of["a"]).to_pylist():
-                    ids, nth, null, size, data = _unzip(row)
+                    ids, nth, null, size, data = _parts(row)
                     ids, nth, null, size = unpack_ints(ids), unpack_ints(nth), np.frombuffer(null, bool), unpack_ints(size)
                     words = Words(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(size)]))
                     cover = np.zeros(len(words.start) + 1, np.int32)

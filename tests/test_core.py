@@ -1,5 +1,6 @@
 """Log operators on small inputs: golden cases, edges, plans, replay, effects and streams."""
 
+import base64
 import json
 
 import pytest
@@ -57,6 +58,19 @@ def test_percent_decoding(spark):
     assert got == ["a b c", "café", "100%", "%zz", "", None]
 
 
+def test_base64_is_one_line(spark):
+    data = [b"", b"x" * 57, b"x" * 58, bytes(range(256)) * 3]
+    got = [r.x for r in spark.createDataFrame([(x,) for x in [*data, None]], "d binary").select(J.base64_text(F.col("d")).alias("x")).collect()]
+    assert got == [*(base64.b64encode(x).decode() for x in data), None]
+
+
+def test_scalar_functions_of_long_urls(spark, tmp_path):
+    url = "https://www.example.org/en/" + "long/" * 20
+    spark.createDataFrame([(url,), ("http://a/b",)], "url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.url: r.b64 for r in registry.scalar_functions(spark, str(tmp_path)).collect()}
+    assert got == {u: base64.b64encode(u.encode()).decode() for u in (url, "http://a/b")}
+
+
 # --- queries over messages ---
 
 

@@ -94,6 +94,11 @@ def percent_decoded(x: Column) -> Column:
     return F.coalesce(F.try_url_decode(x), x)
 
 
+def base64_text(data: Column) -> Column:
+    """Base64 in one line; Spark may break it every 76 characters."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
 def object_of(value: Column, names: list[str]) -> Column:
     """A JSON object of the named fields in this order; missing fields are left out."""
     return F.to_json(F.struct(*[field(value, n).alias(n) for n in names])) if names else F.lit("{}")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tidelog.functions import fields as J
+
 
 def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[object, dict], tuple[object, dict]], out: str) -> DataFrame:
     """One output row for each input row, from a state that is carried along each key's rows in order.
@@ -78,7 +80,7 @@ def kv_meta(state: DataFrame, now_ms: int) -> DataFrame:
 def kv_get(state: DataFrame, now_ms: int) -> DataFrame:
     """(ns, key, value base64, cas, ttl_ms) of the keys that are there."""
     live = state.where(~F.col("deleted") & (F.col("expires_ms").isNull() | (F.col("expires_ms") > now_ms)))
-    return live.select("ns", "key", F.base64(F.col("value").cast("binary")).alias("value"), "cas", F.greatest(F.col("expires_ms") - now_ms, F.lit(0)).alias("ttl_ms"))
+    return live.select("ns", "key", J.base64_text(F.col("value").cast("binary")).alias("value"), "cas", F.greatest(F.col("expires_ms") - now_ms, F.lit(0)).alias("ttl_ms"))
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -58,7 +58,7 @@ def log_resume_from_commit(spark, d):
 
 @register(f"WITH {LOG} SELECT topic, part, off, to_base64(CAST(CAST(user_id AS VARCHAR) AS BLOB)) AS encode_key FROM log")
 def log_base64(spark, d):
-    return _stored(spark, d).select("topic", F.col("partition").alias("part"), F.col("offset").alias("off"), F.base64("key").alias("encode_key"))
+    return _stored(spark, d).select("topic", F.col("partition").alias("part"), F.col("offset").alias("off"), J.base64_text(F.col("key")).alias("encode_key"))
 
 
 @register(
@@ -523,7 +523,7 @@ def scalar_functions(spark, d):
     escaped = F.concat(F.replace(F.replace(url, F.lit(":"), F.lit("%3A")), F.lit("/"), F.lit("%2f")), F.lit("?q=caf%C3%A9+%25"))
     p = table(spark, d, "pages").select("url", escaped.alias("escaped"))
     part = F.upper(F.coalesce(F.nullif(F.split_part("url", F.lit("/"), F.lit(4)), F.lit("")), F.lit("none")))
-    return p.select("url", "escaped", J.percent_decoded(F.col("escaped")).alias("decoded"), F.base64(url.cast("binary")).alias("b64"), part.alias("part"))
+    return p.select("url", "escaped", J.percent_decoded(F.col("escaped")).alias("decoded"), J.base64_text(url.cast("binary")).alias("b64"), part.alias("part"))
 
 
 @register(

@@ -2,13 +2,15 @@
 
 import base64
 import json
+import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import fields as J
 from tidelog.operators import fold, join, query, scan
-from tidelog.plans import receipts, registry
+from tidelog.plans import catalog, receipts, registry
 from tidelog.sources import log, stored
 from tidelog.streaming import effects, streams
 
@@ -106,6 +108,28 @@ def test_keys_agree_as_text_and_missing_ones_take_no_part(spark):
     assert sorted((r.left_off, r.right_off) for r in out.collect()) == [(0, 0), (1, 0), (2, 0), (3, 1)]
 
 
+def test_first_of_repeated_fields_counts_in_joins(spark):
+    left = messages(spark, [(0, b'{"k":1,"k":2,"s":"a","s":"b"}'), (0, b'{"k":{"x":1},"k":2}'), (0, b'{"k":2')])
+    right = messages(spark, [(0, {"k": 1}), (0, {"k": 2})])
+    out = join.messages_join(left, right, [("k", "k")], join.WindowJoin(how="full"), left_fields=("s", "none", "k"))
+    assert sorted(map(tuple, out.collect()), key=str) == [(0, 0, '{"s":"a","k":"1"}', "{}"), (None, 1, None, "{}")]
+
+
+def test_numbers_of_minutes_follow_each_other(spark):
+    stamp = F.timestamp_millis(F.when(F.col("id") % 11 > 0, F.col("id") * 7919 % 400_000 - 200_000))
+    d = spark.range(3000).select("id", (F.col("id") % 3).alias("k"), stamp.alias("ts"))
+    plain = d.withColumn("off", (F.row_number().over(Window.partitionBy("k").orderBy("ts", "id")) - 1).cast("long"))
+    got = log.numbered(d, ["k"], "ts", ["id"]).select(*plain.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("name", ["join_text_keys", "join_capped", "join_full_window", "join_in_order"])
+def test_joins_number_no_whole_type_in_a_task(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    ranked = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*?), specifiedwindowframe", plan)
+    assert all("_slice" in w for w in ranked) and (ranked or name == "join_full_window")
+
+
 def test_window_and_order_decide_pairs(spark):
     left = messages(spark, [(0, {"id": 8}), (180, {"id": 9})])
     right = messages(spark, [(180, {"id": 9}), (180, {"id": 8})])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import fields as J
 from tidelog.operators import fold, join, query, scan
 from tidelog.plans import receipts
-from tidelog.sources.log import append, choose_partition, events_log, ndjson
+from tidelog.sources.log import append, choose_partition, events_log, ndjson, numbered
 from tidelog.sources.stored import stored_once
 from tidelog.sources.tables import table
 
@@ -303,8 +303,8 @@ def latency_histogram(spark, d):
 
 def _sides(spark, d, left="click", right="purchase"):
     e = table(spark, d, "events")
-    off = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-    rows = e.select("event_id", "user_id", F.get_json_object("props", "$.k").alias("k"), F.unix_millis("ts").alias("ts_ms"), off.alias("off"), "event_type")
+    rows = numbered(e.where(F.col("event_type").isin(left, right)), ["event_type"], "ts", ["event_id"])
+    rows = rows.select("event_id", "user_id", F.get_json_object("props", "$.k").alias("k"), F.unix_millis("ts").alias("ts_ms"), "off", "event_type")
     return rows.where(F.col("event_type") == left).drop("event_type"), rows.where(F.col("event_type") == right).drop("event_type")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import fields as J
 from tidelog.operators import fold, join, scan
 from tidelog.plans.registry import LOG, SIX_HOURS, register
-from tidelog.sources.log import events_log
+from tidelog.sources.log import events_log, numbered
 from tidelog.sources.tables import table
 
 # --- key-value store: changes that set cas and ttl ---
@@ -141,9 +141,9 @@ def offset_gaps_found(spark, d):
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Clicks name k as a number; purchases as text, with a fraction of nought by turns. Some have no k."""
     e = table(spark, d, "events")
-    off = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
     k = F.get_json_object("props", "$.k").cast("int")
-    rows = e.select("event_id", "user_id", "event_type", F.when(F.col("event_id") % 9 > 0, k).alias("k"), F.unix_millis("ts").alias("ts_ms"), off.alias("off"))
+    rows = numbered(e.where("event_type IN ('click', 'purchase')"), ["event_type"], "ts", ["event_id"])
+    rows = rows.select("event_id", "user_id", "event_type", F.when(F.col("event_id") % 9 > 0, k).alias("k"), F.unix_millis("ts").alias("ts_ms"), "off")
     clicks = F.to_json(F.struct("event_id", "user_id", "k"))
     text = F.when(F.col("event_id") % 2 == 0, F.concat(F.col("k").cast("string"), F.lit(".0"))).otherwise(F.col("k").cast("string"))
     buys = F.to_json(F.struct("event_id", F.col("user_id").alias("who"), text.alias("ref")))

@@ -21,6 +21,21 @@ def append(rows: DataFrame, order: list[str], heads: DataFrame | None = None) ->
     return out
 
 
+def numbered(rows: DataFrame, keys: list[str], at: str, order: list[str]) -> DataFrame:
+    """Rows with ``off``, from 0 on for each of the keys, none of them null, in the order of a timestamp and then of ``order``.
+
+    A minute's rows are numbered together, from the number of rows of the minutes before it on, so that many tasks share the
+    rows of a key.
+    """
+    sliced = rows.withColumn("_slice", F.coalesce(F.floor(F.unix_seconds(at) / 60), F.lit(-(2**62))))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a minute
+    counts = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    base = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(at, *order))
+    out = sliced.withColumn("_in", inside).join(base, [*keys, "_slice"])
+    return out.withColumn("off", F.col("_base") + F.col("_in") - 1).drop("_slice", "_in", "_base")
+
+
 def events_log(spark: SparkSession, sf_dir: str, partitions: int = 4) -> DataFrame:
     """The events table as a log: topic by type, partition by user, value a JSON object. Payload columns stay beside it."""
     e = table(spark, sf_dir, "events")

@@ -115,6 +115,13 @@ def test_first_of_repeated_fields_counts_in_joins(spark):
     assert sorted(map(tuple, out.collect()), key=str) == [(0, 0, '{"s":"a","k":"1"}', "{}"), (None, 1, None, "{}")]
 
 
+@pytest.mark.parametrize("name", ["join_text_keys", "join_capped"])
+def test_joins_read_a_field_once(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    reading = [line for line in plan.splitlines() if "get_json_object(value" in line]
+    assert reading and all("Generate inline" in line for line in reading)
+
+
 def test_numbers_of_minutes_follow_each_other(spark):
     stamp = F.timestamp_millis(F.when(F.col("id") % 11 > 0, F.col("id") * 7919 % 400_000 - 200_000))
     d = spark.range(3000).select("id", (F.col("id") % 3).alias("k"), stamp.alias("ts"))

@@ -47,6 +47,16 @@ def with_fields(rows: DataFrame, value: str, names: dict[str, str]) -> DataFrame
     return read.withColumns({c: _scalar(F.col(value), n, F.col(r)) for (c, n), r in zip(names.items(), raw, strict=True)}).drop(*raw)
 
 
+def with_first_fields(rows: DataFrame, value: str, names: dict[str, str]) -> DataFrame:
+    """with_fields, where of a repeated name the first counts, as in ``field``. Fields go through a row of an array, so that
+    Spark doesn't copy their reading into each expression and filter over them."""
+    if not names:
+        return rows
+    raw = [f"_raw{i}" for i in range(len(names))]
+    read = rows.select("*", F.inline(F.array(F.struct(*[F.get_json_object(value, _path(n)).alias(r) for n, r in zip(names.values(), raw, strict=True)]))))
+    return read.withColumns({c: _scalar(F.col(value), n, F.col(r)) for (c, n), r in zip(names.items(), raw, strict=True)}).drop(*raw)
+
+
 def number(x: Column) -> Column:
     return x.try_cast("double")
 

@@ -94,22 +94,24 @@ def messages_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]
     if missing_as not in (None, "{}"):
         raise ValueError(f"missing_as is None or '{{}}', not {missing_as!r}")
     names = [f"k{i}" for i in range(len(keys))]
-    value = lambda side: side.withColumn("value", J.text(F.col("value"))).where(J.is_object(F.col("value")))
-    key = lambda name: J.canonical(J.field(F.col("value"), name))
-    a, b = value(left), value(right)
-    a = a.select("off", "ts_ms", "value", *[key(x).alias(n) for n, (x, _) in zip(names, keys, strict=True)])
-    b = b.select("off", "ts_ms", "value", *[key(y).alias(n) for n, (_, y) in zip(names, keys, strict=True)])
-    met = window_join(a, b, names, spec)
+
+    def read(side: DataFrame, told: list[str], fields: tuple[str, ...]) -> DataFrame:
+        """(off, ts_ms, k0, k1, ..., s0, s1, ...): the keys and the fields that are shown."""
+        whole = side.select("off", "ts_ms", J.text(F.col("value")).alias("value")).where(J.is_object(F.col("value")))
+        at = {f: f"_f{i}" for i, f in enumerate(dict.fromkeys([*told, *fields]))}
+        out = J.with_first_fields(whole, "value", {c: f for f, c in at.items()})
+        return out.select("off", "ts_ms", *[J.canonical(F.col(at[f])).alias(n) for n, f in zip(names, told, strict=True)], *[F.col(at[f]).alias(f"s{i}") for i, f in enumerate(fields)])
 
     def shown(side: str, fields: tuple[str, ...]) -> Column:
-        own = F.when(F.col(f"{side}_off").isNotNull(), J.object_of(F.col(f"{side}_value"), list(fields)))
+        whole = F.to_json(F.struct(*[F.col(f"{side}_s{i}").alias(f) for i, f in enumerate(fields)])) if fields else F.lit("{}")
+        own = F.when(F.col(f"{side}_off").isNotNull(), whole)
         return F.coalesce(own, F.lit(missing_as)) if missing_as else own
 
-    out = met.select("left_off", "right_off", shown("left", left_fields).alias("left"), shown("right", right_fields).alias("right"))
+    out = window_join(read(left, [x for x, _ in keys], left_fields), read(right, [y for _, y in keys], right_fields), names, spec)
     if max_rows is not None:
         kind = F.when(F.col("right_off").isNull(), 1).when(F.col("left_off").isNull(), 2).otherwise(0)
         out = out.orderBy(kind, F.col("left_off"), F.when(kind == 0, -F.col("right_off")).otherwise(F.col("right_off"))).limit(max_rows)
-    return out
+    return out.select("left_off", "right_off", shown("left", left_fields).alias("left"), shown("right", right_fields).alias("right"))
 
 
 def join_stats(left: DataFrame, right: DataFrame, keys: list[str], spec: WindowJoin) -> DataFrame:

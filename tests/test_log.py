@@ -2,6 +2,8 @@
 
 import glob
 import os
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import fields as J
 from tidelog.operators import fold, scan
-from tidelog.plans import catalog, receipts
+from tidelog.plans import catalog, receipt_queries, receipts
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +70,29 @@ def test_partial_batch_is_red(spark):
     balances = spark.createDataFrame([("a", 9)], "account_id string, balance long")
     got = receipts.partial_batch(events, expected, observed, none, moves, balances).collect()
     assert {r.verdict for r in got} == {"RED"} and {r.rule_id: r.status for r in got}["R5"] == "PASS"
+
+
+def test_event_status_of_repeats_and_nulls(spark):
+    events = [(1,), (1,), (2,), (3,), (4,), (5,), (None,)]
+    expected = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, None), (3, "a"), (None, "a"), (6, "a"), (4, "a")]
+    observed = [(1, "a", "confirmed"), (1, "a", "confirmed"), (1, "a", "failed"), (1, "z", "confirmed"), (2, "a", "confirmed"), (2, None, "confirmed"), (None, "a", "confirmed"), (4, "a", None)]
+    parked = [(3, "pending"), (3, "pending"), (2, "done"), (None, "pending"), (7, "pending")]
+    want = Counter()
+    for (e,) in events:
+        mine = [x for x in expected if x[0] == e and e is not None]
+        met = [(o[2] if o else None, o) for x in mine for o in [o for o in observed if o[0] == x[0] and o[1] == x[1] and x[1] is not None] or [None]]
+        n, c, m = len(met), sum(s == "confirmed" for s, _ in met), sum(o is None for _, o in met)
+        w = sum(p == (e, "pending") for p in parked if e is not None)
+        want[e, n, c, m, w, "UNRESOLVED" if w and not c else "CONFIRMED" if c == n > 0 else "MISSING" if not c else "PARTIAL"] += 1
+    frames = [spark.createDataFrame(rows, ddl) for rows, ddl in ((events, "event_id long"), (expected, "event_id long, effect_type string"), (observed, "event_id long, effect_type string, status string"), (parked, "event_id long, status string"))]
+    assert Counter(map(tuple, receipts.event_status(*frames).collect())) == want
+
+
+def test_tasks_of_a_batch_receipt_follow_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(receipt_queries, "TASK_ROWS", 100)
+    plan = catalog.QUERIES["receipt_partial_batch"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    dealt = {(key, int(n)) for key, n in re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)}
+    assert dealt == {("l_orderkey", -(-rows // 100)), ("o_orderkey", -(-rows // 100))}
+    again = re.findall(r"hashpartitioning\((\w+)#.*ENSURE_REQUIREMENTS", plan)
+    assert set(again) <= {"account_id"}

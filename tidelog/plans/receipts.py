@@ -7,6 +7,7 @@ counts. Facts come from aggregates, so a receipt's driver-side size doesn't depe
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,30 +42,52 @@ def _beside(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def _by_event(events: DataFrame, expected: DataFrame, observed: DataFrame, parked: DataFrame) -> DataFrame:
+    """(event_id, events_n, expected_n, confirmed_n, missing_n, parked_n, repeated_n, status), a row for each event id of any.
+
+    An expected effect counts once for each observation of it, once if there is none. repeated_n: effects observed twice or
+    more. The four tables are grouped as one, without joins; tables that are dealt alike by event_id aren't dealt anew.
+    """
+    effect = expected.schema["effect_type"].dataType
+    none, confirmed = F.lit(None).cast(effect).alias("effect_type"), F.when(F.col("status") == "confirmed", 2).otherwise(1)
+    parts = [
+        expected.select("event_id", "effect_type", F.lit(0).alias("tag")),
+        observed.select("event_id", "effect_type", confirmed.alias("tag")),
+        events.select("event_id", none, F.lit(3).alias("tag")),
+        parked.where("status = 'pending'").select("event_id", none, F.lit(4).alias("tag")),
+    ]
+    count = lambda condition: F.count_if(F.expr(condition))
+    effects = reduce(DataFrame.unionAll, parts).groupBy("event_id", "effect_type").agg(count("tag = 0").alias("x"), count("tag IN (1, 2)").alias("o"), count("tag = 2").alias("c"), count("tag = 3").alias("e"), count("tag = 4").alias("w"))
+    known = F.col("event_id").isNotNull() & F.col("effect_type").isNotNull()  # what is null agrees with nothing
+    effects = effects.withColumns({"met": F.when(known, F.col("o")).otherwise(0), "ok": F.when(known, F.col("c")).otherwise(0)})
+    sums = {"events_n": "e", "expected_n": "x * greatest(met, 1)", "confirmed_n": "x * ok", "missing_n": "CASE WHEN met = 0 THEN x ELSE 0 END", "parked_n": "w"}
+    out = effects.groupBy("event_id").agg(*[F.sum(F.expr(sql)).alias(name) for name, sql in sums.items()], count("o > 1").alias("repeated_n"))
+    out = out.withColumns({n: F.when(F.col("event_id").isNotNull(), F.col(n)).otherwise(0) for n in ("expected_n", "confirmed_n", "missing_n", "parked_n")})
+    status = F.when((F.col("parked_n") > 0) & (F.col("confirmed_n") == 0), "UNRESOLVED").when((F.col("confirmed_n") == F.col("expected_n")) & (F.col("expected_n") > 0), "CONFIRMED").when(F.col("confirmed_n") == 0, "MISSING").otherwise("PARTIAL")
+    return out.withColumn("status", status)
+
+
 def event_status(events: DataFrame, expected: DataFrame, observed: DataFrame, parked: DataFrame) -> DataFrame:
     """Each expected event's effects counted and named: (event_id, expected_n, confirmed_n, missing_n, parked_n, status)."""
-    e = expected.alias("x").join(observed.alias("o"), (F.col("x.event_id") == F.col("o.event_id")) & (F.col("x.effect_type") == F.col("o.effect_type")), "left")
-    effects = e.groupBy(F.col("x.event_id").alias("event_id")).agg(F.count("*").alias("expected_n"), F.count_if(F.col("o.status") == "confirmed").alias("confirmed_n"), F.count_if(F.col("o.effect_type").isNull()).alias("missing_n"))
-    waiting = parked.where("status = 'pending'").groupBy("event_id").agg(F.count("*").alias("parked_n"))
-    joined = events.select("event_id").join(effects, "event_id", "left").join(waiting, "event_id", "left").na.fill(0, ["expected_n", "confirmed_n", "missing_n", "parked_n"])
-    status = F.when((F.col("parked_n") > 0) & (F.col("confirmed_n") == 0), "UNRESOLVED").when((F.col("confirmed_n") == F.col("expected_n")) & (F.col("expected_n") > 0), "CONFIRMED").when(F.col("confirmed_n") == 0, "MISSING").otherwise("PARTIAL")
-    return joined.withColumn("status", status)
+    told = _by_event(events, expected, observed, parked).where("events_n > 0")
+    each = told.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("events_n"))))
+    return each.select("event_id", "expected_n", "confirmed_n", "missing_n", "parked_n", "status")
 
 
 def partial_batch(events: DataFrame, expected: DataFrame, observed: DataFrame, parked: DataFrame, moves: DataFrame, balances: DataFrame) -> DataFrame:
     """R1. balances: (account_id, balance); events: (event_id, account_id, delta); moves: (prev_offset, new_offset)."""
-    status = event_status(events, expected, observed, parked)
-    posted = events.join(observed.where("effect_type = 'ledger_update'").select("event_id"), "event_id").groupBy("account_id").agg(F.count("*").alias("posted"))
-    accounts = events.select("account_id").distinct().join(balances, "account_id", "left").join(posted, "account_id", "left")
+    ledger = observed.where("effect_type = 'ledger_update'").groupBy("event_id").agg(F.count("*").alias("n"))
+    posted = F.when(F.col("account_id").isNotNull(), F.sum("n")).alias("posted")
+    accounts = events.select("event_id", "account_id").join(ledger, "event_id", "left").groupBy("account_id").agg(posted).join(balances, "account_id", "left")
     facts = _beside(
         _one(
-            status,
-            missing="count_if(status = 'MISSING')",
-            partial="count_if(status = 'PARTIAL')",
-            unresolved="count_if(status = 'UNRESOLVED')",
-            missing_effects="coalesce(sum(CASE WHEN parked_n = 0 THEN missing_n ELSE 0 END), 0)",
+            _by_event(events, expected, observed, parked),
+            missing="coalesce(sum(events_n) FILTER (WHERE status = 'MISSING'), 0)",
+            partial="coalesce(sum(events_n) FILTER (WHERE status = 'PARTIAL'), 0)",
+            unresolved="coalesce(sum(events_n) FILTER (WHERE status = 'UNRESOLVED'), 0)",
+            missing_effects="coalesce(sum(CASE WHEN parked_n = 0 THEN events_n * missing_n ELSE 0 END), 0)",
+            duplicated="coalesce(sum(repeated_n), 0)",
         ),
-        _one(observed.groupBy("event_id", "effect_type").count(), duplicated="count_if(count > 1)"),
         _one(moves, backward="count_if(new_offset < prev_offset)"),
         _one(accounts, unexplained="coalesce(sum(abs(coalesce(balance, 0) - coalesce(posted, 0))), 0)"),
         _one(parked, waiting="count_if(status = 'pending')"),

@@ -88,11 +88,18 @@ def test_event_status_of_repeats_and_nulls(spark):
     assert Counter(map(tuple, receipts.event_status(*frames).collect())) == want
 
 
-def test_tasks_of_a_batch_receipt_follow_its_rows(spark, monkeypatch):
-    monkeypatch.setattr(receipt_queries, "TASK_ROWS", 100)
-    plan = catalog.QUERIES["receipt_partial_batch"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize(("task_rows", "broadcast"), [(100, "-1"), (100, "10m"), (10**9, "-1"), (10**9, "10m")])
+def test_tasks_of_a_batch_receipt_follow_its_rows(spark, monkeypatch, task_rows, broadcast):
+    monkeypatch.setattr(receipt_queries, "TASK_ROWS", task_rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        plan = catalog.QUERIES["receipt_partial_batch"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // task_rows))
     dealt = {(key, int(n)) for key, n in re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)}
-    assert dealt == {("l_orderkey", -(-rows // 100)), ("o_orderkey", -(-rows // 100))}
+    assert dealt == {("l_orderkey", tasks), ("o_orderkey", tasks)}
     again = re.findall(r"hashpartitioning\((\w+)#.*ENSURE_REQUIREMENTS", plan)
     assert set(again) <= {"account_id"}

@@ -30,7 +30,7 @@ def _deal(spark: SparkSession, d: str, keys: dict[str, str]) -> dict[str, DataFr
     compressed that a task's rows would grow with the tables."""
     tables = {t: table(spark, d, t) for t in keys}
     rows = max((df.count() for df in tables.values()), default=0)  # from the files' footers
-    tasks = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))  # fewer, and joins deal anew
     return {t: df.repartition(tasks, keys[t]) for t, df in tables.items()}
 
 
